@@ -30,8 +30,12 @@ def count_text(value: Column) -> Column:
     return F.coalesce(F.format_number(value, 0), F.lit(MISSING))
 
 
-def decimal_text(value: Column, digits: int = 2) -> Column:
-    return F.coalesce(value.cast(f"decimal(28,{digits})").cast("string"), F.lit(MISSING))
+def decimal_text(value: Column) -> Column:
+    """Two decimals, rounded on the exact binary value with exact halves up (the halves are eighths)."""
+    hundred = value * 100
+    half = (value * 8 == F.floor(value * 8)) & (hundred - F.floor(hundred) == 0.5)
+    shown = F.format_number(F.when(half, value + 0.001).otherwise(value), 2)
+    return F.coalesce(F.replace(shown, F.lit(","), F.lit("")), F.lit(MISSING))
 
 
 def event_value_text(value: Column) -> Column:

@@ -367,7 +367,8 @@ SELECT 'country' AS choice, country AS value FROM pairs UNION SELECT 'disaster_t
 UNION SELECT 'disaster_type', disaster_type_b FROM pairs""",
         "anomalies": "SELECT * FROM anomalies",
         "anomaly_list": """
-SELECT *, coalesce(CAST(CAST(magnitude AS DECIMAL(28,2)) AS VARCHAR), 'N/A') AS magnitude_text,
+SELECT *, CASE WHEN magnitude IS NULL THEN 'N/A' WHEN magnitude * 8 = floor(magnitude * 8) AND magnitude * 100 - floor(magnitude * 100) = 0.5
+  THEN printf('%.2f', magnitude + 0.001) ELSE printf('%.2f', magnitude) END AS magnitude_text,
   format('{:,}', deaths) AS deaths_text, format('{:,}', affected) AS affected_text
 FROM anomalies WHERE year(start_date) BETWEEN 2000 AND 2024 AND anomaly_type = 'deaths'""",
         "hotspots": "SELECT * FROM ranked",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
@@ -133,9 +133,12 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 # real feeds have. The queries parse them back.
 
 
+def _copies() -> Column:
+    return F.when(F.col("id").cast("bigint") % 10 == 0, F.lit(2)).otherwise(F.lit(1))
+
+
 def _doubled(rows: DataFrame) -> DataFrame:
-    copies = F.when(F.col("id").cast("bigint") % 10 == 0, F.lit(2)).otherwise(F.lit(1))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), _copies())))
 
 
 def geojson_payloads(h: DataFrame) -> DataFrame:
@@ -150,8 +153,8 @@ def geojson_payloads(h: DataFrame) -> DataFrame:
     )
     geometry = F.struct(F.array("longitude", "latitude", F.lit(10.0)).alias("coordinates"))
     feature = F.struct("id", props.alias("properties"), geometry.alias("geometry"))
-    copies = F.when(F.col("id").cast("bigint") % 10 == 0, F.array(feature, feature)).otherwise(F.array(feature))
-    return h.filter(F.col("event_type") == "error").select(F.to_json(F.struct(copies.alias("features"))).alias("value"))
+    features = F.array_repeat(feature, _copies()).alias("features")
+    return h.filter(F.col("event_type") == "error").select(F.to_json(F.struct(features)).alias("value"))
 
 
 FIRE_CSV_HEADER = "latitude string, longitude string, bright_ti4 string, acq_date string, acq_time string, frp string, daynight string"
@@ -173,7 +176,7 @@ def fire_csv_lines(h: DataFrame) -> DataFrame:
 
 
 def fire_csv_rows(h: DataFrame) -> DataFrame:
-    return fire_csv_lines(h).select(F.from_csv("value", FIRE_CSV_HEADER).alias("r")).select("r.*")
+    return fire_csv_lines(h).select(F.inline(F.array(F.from_csv("value", FIRE_CSV_HEADER))))
 
 
 def natural_event_payloads(h: DataFrame) -> DataFrame:
@@ -201,8 +204,8 @@ def natural_event_payloads(h: DataFrame) -> DataFrame:
         F.when(k % 20 == 11, F.lit("")).otherwise(F.concat(F.lit(',"geometry":['), geometry, F.lit("]"))),
         F.lit("}"),
     )
-    twice = F.when(F.col("id").cast("bigint") % 10 == 0, F.concat_ws(",", body, body)).otherwise(body)
-    return h.select(F.concat(F.lit('{"events":['), twice, F.lit("]}")).alias("value"))
+    documents = F.array_join(F.array_repeat(body, _copies()), ",")
+    return h.select(F.concat(F.lit('{"events":['), documents, F.lit("]}")).alias("value"))
 
 
 def messages(h: DataFrame, kind: str) -> DataFrame:
@@ -218,12 +221,16 @@ def messages(h: DataFrame, kind: str) -> DataFrame:
         rows = h.filter(F.col("event_type") == "click")
         quoted = [F.col(c).cast("decimal(9,5)").cast("string").alias(c) for c in ("latitude", "longitude")]
         fields = [time, "frp", F.lit(None).cast("string").alias("city"), *quoted]
-    good, nameless = F.to_json(F.struct("id", *fields)), F.to_json(F.struct(*fields))
-    again = F.when(F.col("id").cast("bigint") % 10 == 0, good)
-    broken = F.when(F.col("k") % 10 == 3, F.concat(F.lit("#"), good))
-    lost = F.when(F.col("k") % 10 == 6, nameless)
-    return rows.select(
-        F.explode(F.array_compact(F.array(good, again, broken, lost))).alias("value"),
+    # Variants of a row: sent, sent again, unreadable, without an id.
+    variants = F.concat(
+        F.array_repeat(F.lit("sent"), _copies()),
+        F.when(F.col("k") % 10 == 3, F.array(F.lit("broken"))).when(F.col("k") % 10 == 6, F.array(F.lit("nameless"))).otherwise(F.array()),
+    )
+    kind_of = F.col("variant")
+    key = F.when(kind_of != "nameless", F.col("id")).alias("id")
+    text = F.to_json(F.struct(key, *fields))
+    return rows.withColumn("variant", F.explode(variants)).select(
+        F.concat(F.when(kind_of == "broken", F.lit("#")).otherwise(F.lit("")), text).alias("value"),
         (F.col("time") + F.make_dt_interval(secs=F.lit(1))).alias("timestamp"),
     )
 

@@ -18,8 +18,17 @@ EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def decode_payload(payloads: DataFrame, schema: StructType, column: str = "value") -> DataFrame:
-    """One feed document per row of text; malformed documents give NULL fields."""
-    return payloads.select(F.from_json(F.col(column), schema).alias("doc")).select("doc.*")
+    """One feed document per row of text, parsed once; malformed documents give NULL fields."""
+    return payloads.select(F.inline(F.array(F.from_json(F.col(column), schema))))
+
+
+def evaluate_once(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """Project ``columns`` so that later filters on them cannot be pushed into the expressions.
+
+    A filter above a plain projection is rewritten to the parsing expression and parses every
+    row again per mention; the output of a one-element inline is not rewritten.
+    """
+    return rows.select(F.inline(F.array(F.struct(*columns))))
 
 
 def read_geojson(spark: SparkSession, path) -> DataFrame:
@@ -68,15 +77,13 @@ def _blank(name: str) -> Column:
 
 def fire_rows_checked(raw: DataFrame) -> DataFrame:
     """Every CSV row with its parsed fields and a ``reason`` that is NULL for good rows."""
-    padded = F.lpad(F.trim("acq_time"), 4, "0")
-    stamp = F.concat_ws(" ", F.trim("acq_date"), padded)
+    clock = F.trim("acq_time")
+    padded = F.lpad(clock, 4, "0")
+    stamp = F.concat(F.trim("acq_date"), F.lit(" "), F.substring(padded, 1, 2), F.lit(":"), F.substring(padded, 3, 2))
     parsed = raw.select(
         *schemas.FIRE_CSV_COLUMNS,
         F.concat_ws("_", *[F.trim(F.coalesce(c, F.lit(""))) for c in schemas.FIRE_CSV_COLUMNS[:4]]).alias("id"),
-        F.to_timestamp_ntz(
-            F.when(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HHmm")).isNotNull(), stamp),
-            F.lit("yyyy-MM-dd HHmm"),
-        ).alias("time"),
+        F.when(F.length(clock) <= 4, stamp.try_cast("timestamp_ntz")).alias("time"),
         F.trim("frp").try_cast("double").alias("frp_value"),
         F.trim("latitude").try_cast("double").alias("lat"),
         F.trim("longitude").try_cast("double").alias("lon"),
@@ -88,7 +95,7 @@ def fire_rows_checked(raw: DataFrame) -> DataFrame:
         .when(F.col("lat").isNull() | F.col("lon").isNull(), "coordinate not a number")
         .when(F.col("frp_value").isNull(), "power not a number")
     )
-    return parsed.withColumn("reason", reason)
+    return evaluate_once(parsed, *parsed.columns, reason.alias("reason"))
 
 
 def fire_rows(raw: DataFrame) -> DataFrame:
@@ -105,18 +112,13 @@ def fire_rejects(raw: DataFrame) -> DataFrame:
     return fire_rows_checked(raw).filter(F.col("reason").isNotNull()).select("id", *schemas.FIRE_CSV_COLUMNS, "reason")
 
 
-def _utc_text(value: Column) -> Column:
-    pattern = F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return F.to_timestamp_ntz(F.when(F.try_to_timestamp(value, pattern).isNotNull(), value), pattern)
-
-
 def natural_event_rows(documents: DataFrame) -> DataFrame:
     """One row per event: first and last geometry date, joined categories, last point as text."""
     e = documents.select(F.explode("events").alias("e")).select("e.*")
     n = F.coalesce(F.size("geometry"), F.lit(0))
     last = F.get("geometry", F.greatest(n - 1, F.lit(0)))
-    first_date = _utc_text(F.get("geometry", F.lit(0))["date"])
-    last_date = _utc_text(last["date"])
+    first_date = F.get("geometry", F.lit(0))["date"].try_cast("timestamp_ntz")
+    last_date = last["date"].try_cast("timestamp_ntz")
     e = e.withColumn("point", F.from_json(last["coordinates"], "array<double>"))
     lon, lat = F.get("point", F.lit(0)), F.get("point", F.lit(1))
     is_point = (F.size("point") == 2) & lon.isNotNull() & lat.isNotNull()

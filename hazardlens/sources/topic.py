@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,9 +39,12 @@ def file_stream(
     return reader.format(fmt).load(path)
 
 
-def _utc_time(text: Column) -> Column:
-    iso = F.try_to_timestamp(text)
-    return F.when(iso.isNotNull(), F.to_timestamp_ntz(text))
+def _decoded(messages: DataFrame, schema: StructType) -> DataFrame:
+    """The fields of every message, NULL where they cannot be read; each message is parsed once."""
+    data = F.from_json(F.col("value").cast("string"), schema)
+    fields = messages.select("value", "timestamp", F.inline(F.array(data)))
+    number = {n: F.col(n).try_cast("double") for n in schemas.MESSAGE_NUMBERS if n in schema.names}
+    return fields.withColumns({"time": F.col("time").try_cast("timestamp_ntz"), **number})
 
 
 def decode_messages(messages: DataFrame, schema: StructType) -> DataFrame:
@@ -50,25 +53,14 @@ def decode_messages(messages: DataFrame, schema: StructType) -> DataFrame:
     Works on batch and streaming input. A field that cannot be read is NULL and does not take
     the other fields with it.
     """
-    data = messages.select(F.from_json(F.col("value").cast("string"), schema).alias("data"), F.col("timestamp").alias("kafka_timestamp"))
-    fields = []
-    for name in schema.names:
-        raw = F.col(f"data.{name}")
-        if name == "time":
-            raw = _utc_time(raw)
-        elif name in schemas.MESSAGE_NUMBERS:
-            raw = raw.try_cast("double")
-        fields.append(raw.alias(name))
-    return data.select(*fields, "kafka_timestamp").filter(F.col("id").isNotNull())
+    known = _decoded(messages, schema).filter(F.col("id").isNotNull())
+    return known.select(*schema.names, F.col("timestamp").alias("kafka_timestamp"))
 
 
 def message_rejects(messages: DataFrame, schema: StructType) -> DataFrame:
-    """Messages that ``decode_messages`` drops or empties, with the reason."""
-    data = messages.select("value", "timestamp", F.from_json(F.col("value").cast("string"), schema).alias("data"))
-    reason = F.when(F.col("data.id").isNull(), "no readable id").when(
-        _utc_time(F.col("data.time")).isNull(), "time unreadable"
-    )
-    return data.select("value", "timestamp", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    """Messages that ``decode_messages`` drops or leaves without a time, with the reason."""
+    reason = F.when(F.col("id").isNull(), "no readable id").when(F.col("time").isNull(), "time unreadable")
+    return _decoded(messages, schema).select("value", "timestamp", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def to_messages(events: DataFrame) -> DataFrame:
