@@ -284,7 +284,7 @@ def queries() -> dict[str, Query]:
 
 def _stream_events(spark, sf, levels: int = 4) -> DataFrame:
     h = views.hazard_of(views.events_stream(spark, sf), views.table(spark, sf, "nation"))
-    return views.events_of(h, levels)
+    return jobs.watermarked(views.events_of(h, levels))
 
 
 def stream_metrics(spark, sf):
@@ -294,7 +294,7 @@ def stream_metrics(spark, sf):
 def stream_dedupe(spark, sf):
     h = views.hazard_of(views.events_stream(spark, sf), views.table(spark, sf, "nation"))
     feed = views.resent(views.events_of(h))
-    return jobs.run_dedupe(feed).select("id", "type", "time", "severity", "magnitude", "frp")
+    return jobs.run_dedupe(jobs.watermarked(feed)).select("id", "type", "time", "severity", "magnitude", "frp")
 
 
 def stream_alerts(spark, sf):

@@ -1,7 +1,7 @@
 """The streaming jobs: ingest, metrics, dedupe and alerts.
 
-Every ``start_*`` starts one named query with its own checkpoint; every ``run_*`` drains what is
-available, ends, and returns the written table.
+All of them take a ``watermarked`` event stream. Every ``start_*`` starts one named query with its
+own checkpoint; every ``run_*`` drains what is available, ends, and returns the written table.
 """
 
 from __future__ import annotations
@@ -30,12 +30,16 @@ def watermarked(events: DataFrame, delay: str = params.WATERMARK) -> DataFrame:
 
 
 def event_stream(quake_messages: DataFrame, fire_messages: DataFrame) -> DataFrame:
-    """Both topics decoded, named, graded and unified. Earthquakes take their city from the place text."""
+    """Both topics decoded, named, graded, unified and watermarked.
+
+    Earthquakes take their city from the place text. Rows without a readable time cannot take
+    part in event time; ``topic.message_rejects`` lists them.
+    """
     quakes = topic.decode_messages(quake_messages, schemas.QUAKE_MESSAGE).withColumns(
         {"city": places.city_of(F.col("place")), "country": places.country_of(F.col("place"))}
     )
     fires = topic.decode_messages(fire_messages, schemas.FIRE_MESSAGE)
-    return watermarked(unify(quakes, fires))
+    return watermarked(unify(quakes, fires).filter(F.col("time").isNotNull()))
 
 
 def dedupe_stream(events: DataFrame, key: str = "id") -> DataFrame:
@@ -114,27 +118,24 @@ def _drain(spark: SparkSession, name: str, start: Callable[[str, str], Streaming
 
 
 def run_metrics(events: DataFrame) -> DataFrame:
-    marked = watermarked(events)
     return _drain(
         events.sparkSession, "metrics",
-        lambda path, checkpoint: start_metrics(marked, path, checkpoint, trigger=DRAIN, name=_own_name("metrics")),
-        metrics.window_metrics(marked).schema,
+        lambda path, checkpoint: start_metrics(events, path, checkpoint, trigger=DRAIN, name=_own_name("metrics")),
+        metrics.window_metrics(events).schema,
     )
 
 
 def run_dedupe(events: DataFrame) -> DataFrame:
-    marked = watermarked(events)
     return _drain(
         events.sparkSession, "events",
-        lambda path, checkpoint: start_ingest(marked, path, checkpoint, trigger=DRAIN, name=_own_name("events")),
-        marked.schema,
+        lambda path, checkpoint: start_ingest(events, path, checkpoint, trigger=DRAIN, name=_own_name("events")),
+        events.schema,
     )
 
 
 def run_alerts(events: DataFrame, cooldown: int = params.ALERT_COOLDOWN_SECONDS) -> DataFrame:
-    marked = watermarked(events)
     return _drain(
         events.sparkSession, "alerts",
-        lambda path, checkpoint: start_alerts(marked, path, checkpoint, cooldown, trigger=DRAIN, name=_own_name("alerts")),
+        lambda path, checkpoint: start_alerts(events, path, checkpoint, cooldown, trigger=DRAIN, name=_own_name("alerts")),
         "event_type string, severity string, value double, location string, alert_time timestamp_ntz, event_id string",
     )
