@@ -12,7 +12,7 @@ from hazardlens.functions import geometry, places
 from hazardlens.functions.grading import grade
 from hazardlens.functions.numbers import round_to
 from hazardlens.operators.events import event_value
-from hazardlens.operators.skew import hot_keys, salted_join
+from hazardlens.operators.skew import hot_keys, salted_join, small_side
 
 FINE_PER_COARSE = 8
 
@@ -191,25 +191,29 @@ def merge_colocated(events: DataFrame, quake_grades=None, fire_grades=None) -> D
 def resolve_ids(events: DataFrame, ids: DataFrame) -> DataFrame:
     """The event behind each wanted id; a merged id gives the newest event of its type and coordinate.
 
-    ``ids`` has one column ``wanted_id``. Both routes reduce the events to one row per key with a
-    combining aggregate before the lookup, so a crowded coordinate stays one row.
+    ``ids`` has one column ``wanted_id``. Events are first reduced to the wanted ones, without a
+    shuffle while the ids are few, then to one row per key by a combining aggregate, so neither a
+    repeated id nor a crowded coordinate fans out.
     """
-    wanted = ids.select("wanted_id").distinct()
+    wanted = small_side(ids.select("wanted_id").distinct())
     parts = F.split("wanted_id", "_")
-    is_merged = F.col("wanted_id").startswith("merged_") & (F.size(parts) == 5)
-    merged_ids = wanted.filter(is_merged).select(
+    merged_ids = wanted.filter(F.col("wanted_id").startswith("merged_") & (F.size(parts) == 5)).select(
         "wanted_id", F.get(parts, F.lit(1)).alias("type"),
         F.concat_ws("_", F.get(parts, F.lit(2)), F.get(parts, F.lit(3))).alias("coord"),
     )
+    newest = F.max(F.struct("time", "id", "type")).alias("newest")
+    narrow = events.select("id", "type", "time", "latitude", "longitude")
+    direct = (
+        narrow.withColumn("wanted_id", F.col("id")).join(wanted, "wanted_id", "left_semi")
+        .groupBy("wanted_id").agg(newest)
+        .select("wanted_id", "newest.id", "newest.type", "newest.time")
+    )
     by_coord = (
-        events.withColumn("coord", geometry.coordinate_text(F.col("latitude"), F.col("longitude")))
-        .groupBy("type", "coord")
-        .agg(F.max("time").alias("time"), F.max_by("id", F.struct("time", "id")).alias("id"))
+        narrow.withColumn("coord", geometry.coordinate_text(F.col("latitude"), F.col("longitude")))
+        .join(merged_ids, ["type", "coord"], "left_semi")
+        .groupBy("type", "coord").agg(newest)
     )
-    direct = wanted.join(
-        events.groupBy(F.col("id").alias("wanted_id")).agg(F.first("type").alias("type"), F.max("time").alias("time")), "wanted_id"
-    ).select("wanted_id", F.col("wanted_id").alias("id"), "type", "time")
-    via_coord = merged_ids.join(by_coord, ["type", "coord"]).select("wanted_id", "id", "type", "time")
+    via_coord = merged_ids.join(by_coord, ["type", "coord"]).select("wanted_id", "newest.id", "newest.type", "newest.time")
     return direct.unionByName(via_coord.join(direct.select("wanted_id"), "wanted_id", "left_anti"))
 
 

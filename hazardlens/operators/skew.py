@@ -8,6 +8,8 @@ thing here that is broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +37,13 @@ def salted_join(
 ) -> DataFrame:
     """Equi join in which the left rows of a hot key spread over ``salts`` tasks.
 
-    The right rows of hot keys are repeated once per salt, all others are used as they are.
+    The right rows of hot keys are repeated once per salt, all others are used as they are. Left
+    rows with a NULL key match nothing, so they spread as well instead of meeting in one task.
     """
     flag = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    l = left.join(flag, list(keys), "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
+    unmatched = reduce(or_, [F.col(k).isNull() for k in keys])
+    l = left.join(flag, list(keys), "left").withColumn("_salt", F.when(F.col("_hot") | unmatched, spread).otherwise(F.lit(0)))
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     r = right.join(flag, list(keys), "left").withColumn("_salt", F.explode(every))
     return l.drop("_hot").join(r.drop("_hot"), [*keys, "_salt"], how).drop("_salt")

@@ -29,6 +29,13 @@ def decode_events(spark, sf):
     )
 
 
+def message_rejects(spark, sf):
+    h = views.hazard(spark, sf)
+    quake = topic.message_rejects(views.messages(h, "earthquake"), schemas.QUAKE_MESSAGE)
+    fire = topic.message_rejects(views.messages(h, "fire"), schemas.FIRE_MESSAGE)
+    return quake.unionByName(fire).select("timestamp", "reason")
+
+
 def ingest_geojson(spark, sf):
     payloads = views.geojson_payloads(views.hazard(spark, sf))
     return feeds.quake_rows(feeds.decode_payload(payloads, schemas.GEOJSON))
@@ -238,6 +245,7 @@ def queries() -> dict[str, Query]:
         "ingest_fire_csv": ingest_fire_csv,
         "ingest_eonet": ingest_eonet,
         "rejects": rejects,
+        "message_rejects": message_rejects,
         "new_events_only": new_events_only,
         "high_water_mark": high_water_mark,
         "publish_json": publish_json,

@@ -62,13 +62,13 @@ def start_ingest(
 ) -> StreamingQuery:
     """Deduplicated events to a table by type; with a gazetteer missing places are filled per batch."""
     def placed(batch: DataFrame) -> DataFrame:
-        return geo.reverse_geocode(batch, gazetteer, radius_km) if gazetteer is not None else batch
+        return geo.reverse_geocode(batch, gazetteer, radius_km)
 
     return (
         dedupe_stream(events).writeStream.queryName(name)
         .trigger(**(trigger or _every(params.EVENT_TRIGGER)))
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(sinks.batch_folders(path, placed, by=("type",)))
+        .foreachBatch(sinks.batch_folders(path, placed if gazetteer is not None else None, by=("type",)))
         .start()
     )
 

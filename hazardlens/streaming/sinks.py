@@ -17,24 +17,31 @@ OUTPUT_MODES = ("console", "json", "parquet", "cells")
 def batch_folders(path: str, shape: Callable[[DataFrame], DataFrame] | None = None, by: tuple[str, ...] = ()):
     """A foreachBatch function: each batch overwrites its own folder, so a replay changes nothing.
 
-    One distributed write per batch; no count and no rows on the driver.
+    One distributed write per batch; no count and no rows on the driver. A ``shape`` may read the
+    batch more than once, so the batch is kept while it is written and its stateful steps run once.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        out = shape(batch) if shape else batch
+    def save(out: DataFrame, batch_id: int) -> None:
         writer = out.write.mode("overwrite")
         if by:
             writer = writer.partitionBy(*by)
         writer.parquet(f"{path}/batch_id={batch_id}")
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if shape is None:
+            save(batch, batch_id)
+            return
+        kept = batch.persist()
+        try:
+            save(shape(kept), batch_id)
+        finally:
+            kept.unpersist()
+
     return write
 
 
 def as_cells(batch: DataFrame) -> DataFrame:
-    """Stored cells of a batch; one write time per batch, so a replay gives the same cells."""
-    written = F.lit(None).cast("timestamp")
-    if "kafka_timestamp" in batch.columns:
-        written = F.col("kafka_timestamp")
-    moment = F.coalesce(written.cast("timestamp"), F.col("time").cast("timestamp"))
+    """Stored cells of a batch, stamped with the broker or event time, so a replay gives the same cells."""
+    moment = F.col("kafka_timestamp" if "kafka_timestamp" in batch.columns else "time").cast("timestamp")
     return cells.encode_cells(cells.event_cells(batch, "id", F.unix_millis(moment)))
 
 
@@ -55,7 +62,7 @@ def writer(
     if path is None:
         raise ValueError(f"output mode {mode!r} needs a path")
     if mode == "cells":
-        return out.foreachBatch(batch_folders(path, as_cells))
+        return out.foreachBatch(lambda batch, batch_id: batch_folders(path)(as_cells(batch), batch_id))
     return out.format(mode).option("path", path)
 
 
