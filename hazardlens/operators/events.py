@@ -32,27 +32,24 @@ def seconds(n) -> Column:
     return F.make_dt_interval(secs=F.lit(n).cast("decimal(18,6)"))
 
 
-def tag_quakes(rows: DataFrame, grades=None) -> DataFrame:
-    severity = grade(F.col("magnitude"), grades or params.QUAKE_GRADES_4)
-    return rows.withColumns({"type": F.lit("earthquake"), "severity": severity})
-
-
-def tag_fires(rows: DataFrame, grades=None) -> DataFrame:
-    severity = grade(F.col("frp"), grades or params.FIRE_GRADES_4)
-    return rows.withColumns({"type": F.lit("fire"), "severity": severity})
+def graded(rows: DataFrame, quake_grades=None, fire_grades=None) -> DataFrame:
+    """Severity by type: earthquakes by magnitude, fires by radiative power."""
+    quake = grade(F.col("magnitude"), quake_grades or params.QUAKE_GRADES_4)
+    fire = grade(F.col("frp"), fire_grades or params.FIRE_GRADES_4)
+    return rows.withColumn("severity", F.when(F.col("type") == "earthquake", quake).otherwise(fire))
 
 
 def unify(quakes: DataFrame, fires: DataFrame, quake_grades=None, fire_grades=None) -> DataFrame:
-    """Both kinds of event in one table; a column that a side lacks is a typed NULL."""
-    names = schemas.HAZARD_EVENT.names
-    both = tag_quakes(quakes, quake_grades).unionByName(tag_fires(fires, fire_grades), allowMissingColumns=True)
-    types = {f.name: f.dataType for f in schemas.HAZARD_EVENT.fields}
-    return both.select(
-        *[
-            F.col(n) if n in both.columns else F.lit(None).cast(types[n]).alias(n)
-            for n in names
-        ]
+    """Both kinds of event in one graded table; a column that neither side has is a typed NULL."""
+    both = quakes.withColumn("type", F.lit("earthquake")).unionByName(
+        fires.withColumn("type", F.lit("fire")), allowMissingColumns=True
     )
+    both = graded(both, quake_grades, fire_grades)
+    columns = []
+    for f in schemas.HAZARD_EVENT.fields:
+        known = f.name in both.columns
+        columns.append(F.col(f.name) if known else F.lit(None).cast(f.dataType).alias(f.name))
+    return both.select(*columns)
 
 
 def event_value() -> Column:

@@ -252,7 +252,7 @@ def queries() -> dict[str, Query]:
         "event_cells": event_cells,
         "latest_cells": latest_cells,
         "rowkey_struct": rowkey_struct,
-        "unified_events": lambda s, d: views.events(s, d),
+        "unified_events": lambda s, d: views.united_events(views.hazard(s, d)),
         "dedupe_events": lambda s, d: events.dedupe(views.republished(views.events(s, d))),
         "fire_lookback": fire_lookback,
         "time_range": time_range,

@@ -8,7 +8,8 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from hazardlens import params
 from hazardlens.functions import places
-from hazardlens.operators.events import unify
+from hazardlens.operators.events import graded, unify
+from hazardlens.schemas import HAZARD_EVENT
 from hazardlens.sources import feeds
 from hazardlens.sources.tables import read_events
 from hazardlens.sources.topic import file_stream
@@ -89,14 +90,27 @@ def fires_of(h: DataFrame) -> DataFrame:
     )
 
 
+def _grades(levels: int):
+    if levels == 4:
+        return params.QUAKE_GRADES_4, params.FIRE_GRADES_4
+    return params.QUAKE_GRADES_3, params.FIRE_GRADES_3
+
+
 def events_of(h: DataFrame, levels: int = 4) -> DataFrame:
-    four = levels == 4
-    return unify(
-        quakes_of(h),
-        fires_of(h),
-        params.QUAKE_GRADES_4 if four else params.QUAKE_GRADES_3,
-        params.FIRE_GRADES_4 if four else params.FIRE_GRADES_3,
+    """Earthquakes and fires of one hazard table in one pass over it."""
+    region = places.region_of(F.col("latitude"), F.col("longitude"))
+    quake = F.col("type") == "earthquake"
+    named = h.filter(F.col("event_type").isin("error", "click")).withColumn(
+        "place", F.when(quake, F.col("place")).otherwise(region)
     )
+    city = F.when(quake, places.city_of(F.col("place"))).otherwise(places.region_city(F.col("place")))
+    country = F.when(quake, places.country_of(F.col("place"))).otherwise(F.col("place"))
+    return graded(named.withColumns({"city": city, "country": country}), *_grades(levels)).select(*HAZARD_EVENT.names)
+
+
+def united_events(h: DataFrame, levels: int = 4) -> DataFrame:
+    """The same rows from two tables, one per kind, as two feeds deliver them."""
+    return unify(quakes_of(h), fires_of(h), *_grades(levels))
 
 
 def events(spark: SparkSession, sf_dir: str, levels: int = 4) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from pathlib import Path
 
 import duckdb
@@ -24,7 +23,7 @@ def duck(small):
 
 
 def _plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if pd.isna(value):
         return None
     if isinstance(value, (bool, np.bool_, str)):
         return str(value)
