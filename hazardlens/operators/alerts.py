@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hazardlens import params
 from hazardlens.functions import texts
 from hazardlens.functions.grading import alert_limit
+from hazardlens.functions.rows import evaluate_once
 from hazardlens.operators import cooldown
 from hazardlens.operators.events import event_value
 
@@ -20,18 +21,19 @@ def alert_candidates(events: DataFrame, limits=None) -> DataFrame:
     The limits are a parameter table of a few entries and become a CASE expression, so the
     lookup needs neither a join nor a broadcast.
     """
+    named = evaluate_once(
+        events.filter(event_value().isNotNull()),
+        "id", "type", "severity", event_value().alias("value"), "city", "country", "time",
+    )
     limit = alert_limit(F.col("type"), F.col("severity"), limits)
-    return (
-        events.withColumns({"value": event_value(), "alert_limit": limit})
-        .filter(F.col("value") >= F.col("alert_limit"))
-        .select(
-            F.concat_ws("_", "type", "severity").alias("alert_key"),
-            F.col("id").alias("event_id"),
-            F.col("type").alias("event_type"),
-            "severity", "value", "alert_limit",
-            F.concat_ws(", ", F.coalesce("city", F.lit("Unknown")), F.coalesce("country", F.lit("Unknown"))).alias("location"),
-            "time",
-        )
+    known_city, known_country = F.coalesce("city", F.lit("Unknown")), F.coalesce("country", F.lit("Unknown"))
+    return named.filter(F.col("value") >= limit).select(
+        F.concat_ws("_", "type", "severity").alias("alert_key"),
+        F.col("id").alias("event_id"),
+        F.col("type").alias("event_type"),
+        "severity", "value", limit.alias("alert_limit"),
+        F.concat_ws(", ", known_city, known_country).alias("location"),
+        "time",
     )
 
 

@@ -63,18 +63,15 @@ def anomalies(disasters: DataFrame, z: dict[str, float] | None = None) -> DataFr
         *[F.avg(m).alias(f"{m}_avg") for m in ANOMALY_METRICS],
         *[F.stddev_samp(m).alias(f"{m}_std") for m in ANOMALY_METRICS],
     )
-    joined = disasters.join(small_side(stats), "disaster_type")
-    fired, scores = [], []
+    overs, scores = [], []
     for m in ANOMALY_METRICS:
         over = F.col(m) > F.col(f"{m}_avg") + F.lit(limits[m]) * F.col(f"{m}_std")
-        score = (F.col(m) - F.col(f"{m}_avg")) / F.nullif(F.col(f"{m}_std"), F.lit(0.0))
-        fired.append(over)
-        scores.append(F.when(over, score))
+        overs.append(F.coalesce(over, F.lit(False)))
+        scores.append(F.when(over, (F.col(m) - F.col(f"{m}_avg")) / F.nullif(F.col(f"{m}_std"), F.lit(0.0))))
     top = F.greatest(*scores)
     label = F.coalesce(*[F.when(s == top, F.lit(m)) for m, s in zip(ANOMALY_METRICS, scores)])
-    return joined.withColumn("anomaly_type", label).filter(F.col("anomaly_type").isNotNull()).select(
-        *disasters.columns, "anomaly_type"
-    )
+    odd = disasters.join(small_side(stats), "disaster_type").filter(overs[0] | overs[1] | overs[2])
+    return odd.select(*disasters.columns, label.alias("anomaly_type"))
 
 
 def hotspots(

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from hazardlens import schemas
 from hazardlens.functions import places
 from hazardlens.functions.numbers import round_to
+from hazardlens.functions.rows import evaluate_once
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -22,15 +23,6 @@ def decode_payload(payloads: DataFrame, schema: StructType, column: str = "value
     return payloads.select(F.inline(F.array(F.from_json(F.col(column), schema))))
 
 
-def evaluate_once(rows: DataFrame, *columns: Column | str) -> DataFrame:
-    """Project ``columns`` so that later filters on them cannot be pushed into the expressions.
-
-    A filter above a plain projection is rewritten to the parsing expression and parses every
-    row again per mention; the output of a one-element inline is not rewritten.
-    """
-    return rows.select(F.inline(F.array(F.struct(*columns))))
-
-
 def read_geojson(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema(schemas.GEOJSON).json(path, multiLine=True)
 
