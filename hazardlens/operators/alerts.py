@@ -23,7 +23,8 @@ def alert_candidates(events: DataFrame, limits=None) -> DataFrame:
     """
     named = evaluate_once(
         events.filter(event_value().isNotNull()),
-        "id", "type", "severity", event_value().alias("value"), "city", "country", "time",
+        "severity", event_value().alias("value"),
+        beside=["id", "type", "city", "country", "time"],
     )
     limit = alert_limit(F.col("type"), F.col("severity"), limits)
     known_city, known_country = F.coalesce("city", F.lit("Unknown")), F.coalesce("country", F.lit("Unknown"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hazardlens import params
 from hazardlens.functions.grading import vulnerability_label
 from hazardlens.functions.numbers import exact_sum, round_to
+from hazardlens.functions.rows import evaluate_once
 from hazardlens.operators.skew import hot_keys, salted_join, small_side
 
 
@@ -71,7 +72,7 @@ def anomalies(disasters: DataFrame, z: dict[str, float] | None = None) -> DataFr
     top = F.greatest(*scores)
     label = F.coalesce(*[F.when(s == top, F.lit(m)) for m, s in zip(ANOMALY_METRICS, scores)])
     odd = disasters.join(small_side(stats), "disaster_type").filter(overs[0] | overs[1] | overs[2])
-    return odd.select(*disasters.columns, label.alias("anomaly_type"))
+    return evaluate_once(odd, label.alias("anomaly_type"), beside=disasters.columns)
 
 
 def hotspots(

@@ -87,7 +87,7 @@ def fire_rows_checked(raw: DataFrame) -> DataFrame:
         .when(F.col("lat").isNull() | F.col("lon").isNull(), "coordinate not a number")
         .when(F.col("frp_value").isNull(), "power not a number")
     )
-    return evaluate_once(parsed, *parsed.columns, reason.alias("reason"))
+    return evaluate_once(parsed, *parsed.columns[5:], reason.alias("reason"), beside=list(schemas.FIRE_CSV_COLUMNS))
 
 
 def fire_rows(raw: DataFrame) -> DataFrame:

@@ -13,13 +13,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from hazardlens.operators.cooldown import NEVER
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+COMBINE_ROWS = 50_000
 CARRIED = ["event_id", "event_type", "severity", "value", "location"]
 COMBINED = "alert_key string, s bigint, event_id string, event_type string, severity string, value double, location string"
 
 
 def best_per_second(rows: pd.DataFrame) -> pd.DataFrame:
-    """The largest value per key and second, then the smallest id."""
-    ordered = rows.sort_values(["alert_key", "s", "value", "event_id"], ascending=[True, True, False, True])
+    """The largest value per key and second, then the smallest id; in order of key and second."""
+    top = rows.groupby(["alert_key", "s"], sort=False)["value"].transform("max")
+    ordered = rows[rows["value"] == top].sort_values(["alert_key", "s", "event_id"])
     return ordered.drop_duplicates(["alert_key", "s"])
 
 
@@ -43,9 +45,16 @@ class CooldownProcessor(StatefulProcessor):
         self.allowed = handle.getValueState("allowed", "second bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = None
+        kept, waiting, pending = None, [], 0
         for pdf in rows:
-            kept = best_per_second(pdf if kept is None else pd.concat([kept, pdf]))
+            waiting.append(pdf)
+            pending += len(pdf)
+            # Combine when the rows have doubled, so that the work stays linear in the rows.
+            if pending >= max(COMBINE_ROWS, 0 if kept is None else len(kept)):
+                kept = best_per_second(pd.concat([kept, *waiting] if kept is not None else waiting))
+                waiting, pending = [], 0
+        if waiting:
+            kept = best_per_second(pd.concat([kept, *waiting] if kept is not None else waiting))
         allowed = self.allowed.get()[0] if self.allowed.exists() else NEVER
         seconds = kept["s"].to_numpy()
         fired = []
