@@ -14,22 +14,28 @@ from hazardlens.functions.grading import grade
 ALL = "all"
 
 
-def as_time(value) -> Column:
-    """A time argument: a datetime, or a column such as a scalar subquery."""
-    if isinstance(value, Column):
-        return value
-    if isinstance(value, dt.datetime):
-        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
-    return F.lit(value).cast("timestamp_ntz")
+def seconds(n) -> Column:
+    return F.make_dt_interval(secs=F.lit(n).cast("decimal(18,6)"))
 
 
-def latest_time(events: DataFrame, column: str = "time") -> Column:
-    """The newest event time as a scalar subquery, used as "now" over stored events."""
-    return events.agg(F.max(column).alias("as_of")).scalar()
+def latest_time(events: DataFrame, column: str = "time") -> DataFrame:
+    """The newest event time as a one-row table, used as "now" over stored events."""
+    return events.agg(F.max(column).alias("as_of"))
 
 
-def seconds(n) -> Column:
-    return F.make_dt_interval(secs=F.lit(n).cast("decimal(18,6)"))
+def moment(as_of, back: float = 0) -> Column:
+    """``back`` seconds before "now", which is a datetime or a one-row table such as ``latest_time``.
+
+    Either way the result is one literal for the scan (a scalar subquery is one when the scan
+    starts), so filters on event time prune files and row groups.
+    """
+    if isinstance(as_of, DataFrame):
+        bound = F.col(as_of.columns[0])
+        return as_of.select((bound - seconds(back) if back else bound).alias("bound")).scalar()
+    if isinstance(as_of, dt.datetime):
+        as_of = as_of.isoformat(sep=" ")
+    bound = F.lit(as_of).cast("timestamp_ntz")
+    return bound - seconds(back) if back else bound
 
 
 def graded(rows: DataFrame, quake_grades=None, fire_grades=None) -> DataFrame:
@@ -72,13 +78,13 @@ def dedupe(events: DataFrame, key: str = "id", arrival: str | None = None) -> Da
 
 def fire_lookback(fires: DataFrame, as_of, minutes: int = 1, hours: int = params.FIRE_LOOKBACK_HOURS) -> DataFrame:
     """Fires not older than ``hours`` and ``minutes`` before ``as_of``; the bound is inclusive."""
-    return fires.filter(F.col("time") >= as_time(as_of) - seconds(hours * 3600 + minutes * 60))
+    return fires.filter(F.col("time") >= moment(as_of, hours * 3600 + minutes * 60))
 
 
 def time_range(events: DataFrame, as_of, name: str | None) -> DataFrame:
     """Events of a named look-back range; an unknown name keeps everything."""
     span = params.TIME_RANGES.get(name)
-    return events if span is None else events.filter(F.col("time") >= as_time(as_of) - seconds(span))
+    return events if span is None else events.filter(F.col("time") >= moment(as_of, span))
 
 
 def event_filter(events: DataFrame, event_type: str = ALL, severity: str = ALL) -> DataFrame:
@@ -106,7 +112,7 @@ def event_feed(events: DataFrame, as_of) -> DataFrame:
     """Newest first, with the display texts; the id makes the order total."""
     return events.withColumns(
         {
-            "age": texts.relative_age(F.col("time"), as_time(as_of)),
+            "age": texts.relative_age(F.col("time"), moment(as_of)),
             "severity_text": F.initcap("severity"),
             "type_text": F.initcap("type"),
         }

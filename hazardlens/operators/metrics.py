@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardlens import params
 from hazardlens.functions.numbers import exact_avg, exact_sum, round_to
-from hazardlens.operators.events import as_time, event_value, seconds
+from hazardlens.operators.events import event_value, moment
 
 
 def window_metrics(events: DataFrame, window: str = params.METRIC_WINDOW) -> DataFrame:
@@ -44,7 +44,7 @@ def metrics_of_type(events: DataFrame, event_type: str, window: str = params.MET
 def kpi_cards(events: DataFrame, as_of) -> DataFrame:
     """One row of totals; a missing value counts as 0 in the averages, no rows give 0.0."""
     quake, fire = F.col("type") == "earthquake", F.col("type") == "fire"
-    recent = F.col("time") > as_time(as_of) - seconds(3600)
+    recent = F.col("time") > moment(as_of, 3600)
     sums = events.agg(
         F.count("*").alias("total_events"),
         F.count_if(quake).alias("earthquake_events"),
@@ -80,11 +80,11 @@ def severity_distribution(events: DataFrame, levels=("high", "moderate", "low"))
 def event_trend(events: DataFrame, as_of, name: str, buckets: int = params.TREND_BUCKETS) -> DataFrame:
     """Event counts of equal buckets that tile (as_of - range, as_of], empty ones included."""
     width = params.TIME_RANGES[name] / buckets
-    now = as_time(as_of)
+    now, first = moment(as_of), moment(as_of, params.TIME_RANGES[name])
     micros = F.timestamp_diff("MICROSECOND", F.col("time"), now)
     back = F.floor(micros / F.lit(width * 1_000_000.0)).cast("int")
     counts = (
-        events.filter((F.col("time") > now - seconds(params.TIME_RANGES[name])) & (F.col("time") <= now))
+        events.filter((F.col("time") > first) & (F.col("time") <= now))
         .groupBy((F.lit(buckets - 1) - back).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
@@ -94,9 +94,7 @@ def event_trend(events: DataFrame, as_of, name: str, buckets: int = params.TREND
     filled = every.join(F.broadcast(counts), "bucket", "left").select(
         "bucket", F.coalesce("n", F.lit(0)).cast("bigint").alias("event_count")
     )
-    start = now - seconds(params.TIME_RANGES[name]) + F.make_dt_interval(
-        secs=(F.col("bucket") * F.lit(width)).cast("decimal(18,6)")
-    )
+    start = first + F.make_dt_interval(secs=(F.col("bucket") * F.lit(width)).cast("decimal(18,6)"))
     peak = F.nullif(F.max("event_count").over(Window.partitionBy()), F.lit(0))
     return (
         filled.withColumns({"bucket_start": start, "intensity": F.col("event_count") / peak})

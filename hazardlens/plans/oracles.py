@@ -255,7 +255,7 @@ FROM fires WHERE k % 50 IN (1, 2, 3, 4)""",
         "message_rejects": """
 SELECT time + INTERVAL 1 SECOND AS timestamp, 'no readable id' AS reason FROM hazard WHERE type IS NOT NULL AND k % 10 IN (3, 6)""",
         "ingest_eonet": f"SELECT * EXCLUDE (k, copy) FROM {_EONET} {_TWICE}",
-        "new_events_only": f"SELECT * EXCLUDE (k) FROM {_EONET} WHERE from_date IS NULL OR from_date >= TIMESTAMP '2024-01-15 00:00:00'",
+        "new_events_only": f"SELECT * EXCLUDE (k) FROM {_EONET} WHERE id NOT IN (SELECT id FROM hazard WHERE time < TIMESTAMP '2024-01-15 00:00:00')",
         "high_water_mark": f"SELECT max(last_modified) AS high_water_mark, count(*) AS row_count FROM {_EONET} {_TWICE}",
         "publish_json": _with(
             """

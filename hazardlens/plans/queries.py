@@ -56,8 +56,7 @@ def ingest_eonet(spark, sf):
 
 def new_events_only(spark, sf):
     incoming = ingest_eonet(spark, sf)
-    dated = views.hazard(spark, sf).filter(F.col("k") % 20 != 11)
-    loaded = dated.filter(F.col("time") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    loaded = views.hazard(spark, sf).filter(F.col("time") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
     return feeds.new_rows_only(incoming, loaded)
 
 

@@ -380,3 +380,12 @@ def test_no_cross_joins(spark, small, name):
 
     p = plan(queries()[name](spark, small))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_time_range_reaches_the_scan(spark, small):
+    """A fixed "now" is pushed as a literal; "now" from the table is compared as a bare subquery."""
+    e = views.events(spark, small, levels=3)
+    fixed = plan(events.time_range(e, dt.datetime(2024, 1, 30), "12h"))
+    assert "GreaterThanOrEqual(ts,2024-01-29T12:00)" in fixed
+    moving = events.time_range(e, events.latest_time(e), "12h")
+    assert "- INTERVAL" not in plan(moving).split("DataFilters")[1].split("Format")[0]
