@@ -7,7 +7,8 @@ own checkpoint; every ``run_*`` drains what is available, ends, and returns the
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,19 +87,30 @@ def start_alerts(
     events: DataFrame, path: str | None, checkpoint: str, cooldown: int = params.ALERT_COOLDOWN_SECONDS,
     mode: str = "parquet", trigger: dict[str, object] | None = None, name: str = "alerts",
 ) -> StreamingQuery:
-    """Alerts with a cooldown per type and severity, kept in the RocksDB state store."""
-    conf = events.sparkSession.conf
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(key, None)
-    conf.set(key, state.ROCKSDB)
-    try:
+    """Alerts with a cooldown per type and severity, kept in the RocksDB state store.
+
+    The keys are the entries of the alert limit table, so more state partitions than that would
+    only be empty tasks.
+    """
+    spark = events.sparkSession
+    keys = sum(len(by_severity) for by_severity in params.ALERT_LIMITS.values())
+    partitions = min(keys, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with _settings(spark, {state.PROVIDER: state.ROCKSDB, "spark.sql.shuffle.partitions": str(partitions)}):
         out = state.cooldown_stream(alerts.alert_candidates(events), cooldown)
         return sinks.writer(out, mode, path, checkpoint, name, trigger or _every(params.EVENT_TRIGGER)).start()
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that a query takes over when it starts, put back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
     finally:
-        if before is None:
-            conf.unset(key)
-        else:
-            conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def await_any(spark: SparkSession) -> None:

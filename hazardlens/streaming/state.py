@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hazardlens.operators.cooldown import NEVER
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COMBINE_ROWS = 50_000
 CARRIED = ["event_id", "event_type", "severity", "value", "location"]
