@@ -10,6 +10,8 @@ QUAKE_GRADES_4 = [("Low", 4.0), ("Moderate", 6.0), ("High", 7.0), ("Extreme", No
 FIRE_GRADES_4 = [("Low", 5.0), ("Moderate", 15.0), ("High", 50.0), ("Extreme", None)]
 QUAKE_GRADES_3 = [("low", 4.0), ("moderate", 6.0), ("high", None)]
 FIRE_GRADES_3 = [("low", 5.0), ("moderate", 15.0), ("high", None)]
+QUAKE_GRADES_3_TITLE = [("Low", 4.0), ("Moderate", 6.0), ("High", None)]
+FIRE_GRADES_3_TITLE = [("Low", 5.0), ("Moderate", 15.0), ("High", None)]
 UNKNOWN_GRADE = "Unknown"
 
 # An alert needs value >= limit of its (type, severity).

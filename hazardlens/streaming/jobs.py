@@ -30,17 +30,27 @@ def watermarked(events: DataFrame, delay: str = params.WATERMARK) -> DataFrame:
     return events.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", delay)
 
 
-def event_stream(quake_messages: DataFrame, fire_messages: DataFrame) -> DataFrame:
+def event_stream(
+    quake_messages: DataFrame,
+    fire_messages: DataFrame,
+    quake_grades=None,
+    fire_grades=None,
+    comma_places: bool = False,
+) -> DataFrame:
     """Both topics decoded, named, graded, unified and watermarked.
 
-    Earthquakes take their city from the place text. Rows without a readable time cannot take
-    part in event time; ``topic.message_rejects`` lists them.
+    Earthquakes take city and country from the place text: around " of " and the last comma, or
+    with ``comma_places`` simply the first two comma parts. Rows without a readable time cannot
+    take part in event time; ``topic.message_rejects`` lists them.
     """
-    quakes = topic.decode_messages(quake_messages, schemas.QUAKE_MESSAGE).withColumns(
-        {"city": places.city_of(F.col("place")), "country": places.country_of(F.col("place"))}
-    )
+    place = F.col("place")
+    if comma_places:
+        named = {"city": places.comma_part(place, 0), "country": places.comma_part(place, 1)}
+    else:
+        named = {"city": places.city_of(place), "country": places.country_of(place)}
+    quakes = topic.decode_messages(quake_messages, schemas.QUAKE_MESSAGE).withColumns(named)
     fires = topic.decode_messages(fire_messages, schemas.FIRE_MESSAGE)
-    return watermarked(unify(quakes, fires).filter(F.col("time").isNotNull()))
+    return watermarked(unify(quakes, fires, quake_grades, fire_grades).filter(F.col("time").isNotNull()))
 
 
 def dedupe_stream(events: DataFrame, key: str = "id") -> DataFrame:

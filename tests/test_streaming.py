@@ -10,7 +10,7 @@ from conftest import rows
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from hazardlens import schemas
+from hazardlens import params, schemas
 from hazardlens.operators import alerts, events, metrics
 from hazardlens.plans import views
 from hazardlens.sources import topic
@@ -100,6 +100,21 @@ def test_messages_to_events(spark, small, tmp_path):
     assert out.filter("type = 'earthquake' AND city IS NULL").count() == 0
 
 
+def test_comma_places_and_three_title_grades(spark, tmp_path):
+    quake = json.dumps({"id": "q", "time": "2024-01-01 00:00:00", "magnitude": 7.5, "place": "9km W of Port, Land"})
+    bare = json.dumps({"id": "r", "time": "2024-01-01 00:00:00", "magnitude": 4.0, "place": "Ridge"})
+    fire = json.dumps({"id": "f", "time": "2024-01-01 00:00:00", "frp": 80.0, "city": "C"})
+    timeless = json.dumps({"id": "g", "time": "soon", "frp": 80.0})
+    streams = []
+    for name, values in {"quake": [quake, bare], "fire": [fire, timeless]}.items():
+        spark.createDataFrame([(v, FAR) for v in values], "value string, timestamp timestamp").write.parquet(str(tmp_path / name))
+        streams.append(spark.readStream.schema("value string, timestamp timestamp").parquet(str(tmp_path / name)))
+    out = jobs.run_dedupe(jobs.event_stream(*streams, params.QUAKE_GRADES_3_TITLE, params.FIRE_GRADES_3_TITLE, comma_places=True))
+    assert rows(out, "id", "severity", "city", "country") == [
+        ("f", "High", "C", None), ("q", "High", "9km W of Port", "Land"), ("r", "Moderate", "Ridge", None),
+    ]
+
+
 def test_late_rows_are_dropped(spark, live, tmp_path):
     folder = tmp_path / "in"
     early = live.filter("time < TIMESTAMP_NTZ'2024-01-02 00:00:00'")
