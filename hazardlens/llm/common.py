@@ -25,9 +25,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 class Members:
     """A bitmap over hashed keys: no member is missed, a few others pass. At most 32 MB."""
 
-    def __init__(self, keys: DataFrame, *columns: str, most_bits: int = 28):
+    def __init__(self, keys: DataFrame, column: str, hashed: bool = False, most_bits: int = 28):
+        """``hashed``: the keys are hashes already, so their low bits are the cell."""
         self.bits = min(most_bits, max(15, math.ceil(math.log2(max(1, 16 * keys.count())))))
-        self.columns = columns
+        self.column, self.hashed = column, hashed
         cells = keys.select(self.cell().alias("cell"))
         maps = cells.groupBy(F.shiftright("cell", 15).alias("bucket")).agg(
             F.bitmap_construct_agg(F.col("cell").bitwiseAND(32767)).alias("map")
@@ -38,7 +39,8 @@ class Members:
 
     def cell(self):
         """The cell of a key, as a column."""
-        return F.pmod(F.xxhash64(*self.columns), F.lit(1 << self.bits))
+        own = F.col(self.column) if self.hashed else F.xxhash64(self.column)
+        return own.bitwiseAND(F.lit((1 << self.bits) - 1))
 
 
 def has_bit(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:

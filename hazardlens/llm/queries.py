@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlens.llm import substring_dedup
+from hazardlens.llm import jaccard_join, secret_scan, substring_dedup
 from hazardlens.llm.common import documents
 
 
@@ -16,9 +16,21 @@ def op9_substring_dedup(spark, sf):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_secret_scan(spark, sf):
+    out = secret_scan.scan(documents(spark, sf))
+    joined = lambda c: F.array_join(c, ",")
+    return out.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined("base"), 256).alias("base_sha256"), joined("found").alias("spans"), "n_weak"
+    )
+
+
+def op10_jaccard_join(spark, sf):
+    return jaccard_join.link(documents(spark, sf), width=3, num=90, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op9_substring_dedup,)}
+    return {q.__name__: q for q in (op6_secret_scan, op9_substring_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_secret_scan": secret_scan.base_sql()}
