@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlens.llm import jaccard_join, secret_scan, substring_dedup
+from hazardlens.llm import ann, jaccard_join, mixing, secret_scan, substring_dedup
 from hazardlens.llm.common import documents
 
 
@@ -16,6 +16,18 @@ def op9_substring_dedup(spark, sf):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Blocks that each source gives of every 105: the hot source is held near the share of the others.
+TARGETS = {"src0": 8, mixing.OTHER: 2, **{f"src{i}": 5 for i in range(1, 20)}}
+
+
+def op5_ann_hnsw(spark, sf):
+    return ann.search(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op7_pfair_mixing(spark, sf):
+    return mixing.mix(documents(spark, sf), TARGETS, keep=("doc_id", "source"))
+
+
 def op6_secret_scan(spark, sf):
     out = secret_scan.scan(documents(spark, sf))
     joined = lambda c: F.array_join(c, ",")
@@ -29,7 +41,7 @@ def op10_jaccard_join(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op6_secret_scan, op9_substring_dedup, op10_jaccard_join)}
+    return {q.__name__: q for q in (op5_ann_hnsw, op6_secret_scan, op7_pfair_mixing, op9_substring_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
