@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlens.llm import ann, jaccard_join, mixing, secret_scan, substring_dedup
+from hazardlens.llm import ann, decontaminate, jaccard_join, mixing, quality, secret_scan, substring_dedup
 from hazardlens.llm.common import documents
 
 
@@ -20,6 +20,14 @@ def op9_substring_dedup(spark, sf):
 TARGETS = {"src0": 8, mixing.OTHER: 2, **{f"src{i}": 5 for i in range(1, 20)}}
 
 
+def op2_decontamination(spark, sf):
+    return decontaminate.leaks(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+def op4_quality_classifier(spark, sf):
+    return quality.classify(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 def op5_ann_hnsw(spark, sf):
     return ann.search(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
@@ -41,7 +49,7 @@ def op10_jaccard_join(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op5_ann_hnsw, op6_secret_scan, op7_pfair_mixing, op9_substring_dedup, op10_jaccard_join)}
+    return {q.__name__: q for q in (op2_decontamination, op4_quality_classifier, op5_ann_hnsw, op6_secret_scan, op7_pfair_mixing, op9_substring_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
