@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlens.llm import ann, decontaminate, jaccard_join, mixing, quality, secret_scan, substring_dedup
+from hazardlens.llm import ann, decontaminate, jaccard_join, maxent, mixing, quality, secret_scan, substring_dedup, surrogates
 from hazardlens.llm.common import documents
 
 
@@ -20,6 +20,18 @@ def op9_substring_dedup(spark, sf):
 TARGETS = {"src0": 8, mixing.OTHER: 2, **{f"src{i}": 5 for i in range(1, 20)}}
 
 
+#: A deployment gives its own secret; with this one the queries' results can be compared.
+SURROGATE_KEY = b"registered query"
+
+
+def op1_pii_surrogates(spark, sf):
+    return surrogates.replace(documents(spark, sf).select("doc_id", "text"), SURROGATE_KEY)
+
+
+def op3_maxent_lm(spark, sf):
+    return maxent.fit_and_score(documents(spark, sf))
+
+
 def op2_decontamination(spark, sf):
     return decontaminate.leaks(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
@@ -49,7 +61,7 @@ def op10_jaccard_join(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_decontamination, op4_quality_classifier, op5_ann_hnsw, op6_secret_scan, op7_pfair_mixing, op9_substring_dedup, op10_jaccard_join)}
+    return {q.__name__: q for q in (op1_pii_surrogates, op2_decontamination, op3_maxent_lm, op4_quality_classifier, op5_ann_hnsw, op6_secret_scan, op7_pfair_mixing, op9_substring_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
