@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For comparing passages: all ASCII but letters and digits separates words, so punctuation does not count.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 U = np.uint64
@@ -91,12 +93,13 @@ class Words:
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """The texts of an Arrow string column; null counts as empty. A text over ``limit`` is a block of its own."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    column = pc.fill_null(column, "") if column.null_count else column
     n = len(column)
     if n == 0:
         return
     raw = column.buffers()
-    offsets = np.frombuffer(raw[1], np.int64)[column.offset : column.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(raw[1], width)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(raw[2], np.uint8) if raw[2] is not None and raw[2].size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
@@ -105,10 +108,10 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         at = to
 
 
-def words(block: Block) -> Words:
-    """Maximal runs of bytes other than space and \\x09-\\x0D inside each text."""
+def words(block: Block, space: np.ndarray = SPACE) -> Words:
+    """Maximal runs, inside each text, of bytes that ``space`` does not hold: by default space and \\x09-\\x0D."""
     n = len(block.data)
-    solid = ~SPACE[block.data]
+    solid = ~space[block.data]
     edge = np.zeros(n + 1, bool)
     edge[block.edges] = True
     before = np.zeros(n, bool)
@@ -192,3 +195,29 @@ def pack_gaps(ordered: np.ndarray) -> bytes:
 def unpack_gaps(packed: bytes) -> np.ndarray:
     raw = np.frombuffer(packed, np.uint8)
     return np.cumsum(raw, dtype=np.int64)[raw < 255]
+
+
+class Table:
+    """Sorted distinct hashes, found by their leading bits and a few steps; hashes are even, so buckets are short."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.bits = max(1, int(len(hashes)).bit_length())
+        buckets = np.arange((1 << self.bits) + 1, dtype=np.uint64)
+        head = (hashes >> U(64 - self.bits)).astype(np.int64)
+        self.first = np.searchsorted(head, buckets.astype(np.int64)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted hash, or -1."""
+        head = (wanted >> U(64 - self.bits)).astype(np.int64)
+        at, end = self.first[head], self.first[head + 1]
+        out = np.full(len(wanted), -1, np.int64)
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            same = self.hashes[at] == wanted[left]
+            out[left[same]] = at[same]
+            at = at + 1
+            more = ~same & (at < end)
+            left, at, end = left[more], at[more], end[more]
+        return out
