@@ -39,22 +39,24 @@ def _least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): one row for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, n_links, mark, class): one row for each row of ``docs``.
 
     Two rows link when den * intersection >= num * union of their distinct ``width``-word shingles (A-Z as a-z; fewer
     words are one shingle of them all). component_id is the smallest doc_id reachable by links; n_links counts linked
     rows. Null, empty and blank texts have no shingles, link with nothing and are their own component. A null doc_id
-    takes part and never becomes a component_id unless the component has no other. Only doc_id and text are read.
+    takes part and never becomes a component_id unless the component has no other. ``mark`` is xxhash64 of the text,
+    ``class`` a number of the component that does not depend on ids (null without shingles). Only doc_id and text are read.
     """
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in kernel.blocks(batch.column(1)):
                 _, bounds, own = _sets(block, width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, len(block)), pa.array(np.diff(bounds)), pa.array(own.view(np.int64))], ["doc_id", "n", "s"]
+                    [batch.column(0).slice(block.first, len(block)), pa.array(np.diff(bounds)), pa.array(own.view(np.int64)), batch.column(2).slice(block.first, len(block))],
+                    ["doc_id", "n", "s", "mark"],
                 )
 
-    rows = written(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, s long"), "sets")
+    rows = written(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(describe, "doc_id long, n long, s long, mark long"), "sets")
     classes = rows.filter("n > 0").groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"))
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -88,6 +90,7 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     meet = docs.select("text").mapInArrow(prefixes, "h long, s long, n long").distinct().withColumn("apart", apart)
     edges = meet.withColumn("hub", hub).filter("hub != s").select(F.col("s").alias("a"), F.col("hub").alias("b"))
     clusters = components(edges)
+    shared.destroy()
 
     order = Window.partitionBy("root").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)
     placed = (F.sum(F.col("n") + ROW_WEIGHT).over(order) - 1) / F.lit(BLOCK_SHINGLES)
@@ -154,10 +157,27 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     named = roots.join(classes.withColumnRenamed("s", "node"), "node").select("node", "root", "rep")
     least = named.join(named.groupBy("root").agg(F.min("rep").alias("least")), "root")
     linked = found.groupBy(F.col("a").alias("s")).agg(F.sum("links").alias("links"))
-    table = classes.join(least.select(F.col("node").alias("s"), "least"), "s", "left").join(linked, "s", "left").select(
-        "s", F.coalesce("least", "rep").alias("least"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
+    table = classes.join(least.select(F.col("node").alias("s"), "root", "least"), "s", "left").join(linked, "s", "left").select(
+        "s", F.coalesce("root", "s").alias("root"), F.coalesce("least", "rep").alias("least"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
     )
     return rows.join(table, "s", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("links")).otherwise(F.lit(0)).alias("n_links"),
+        F.when(F.col("n") > 0, F.col("links")).otherwise(F.lit(0)).alias("n_links"), "mark", F.when(F.col("n") > 0, F.col("root")).alias("class"),
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stay when of each component of ``link`` one does.
+
+    The row with the smallest doc_id stays, of equal ids the one with the smallest text hash; null ids come last. Rows
+    equal in doc_id and text become one. Rows without shingles are no copies of anything and all stay.
+    """
+    linked = link(docs, width, num, den)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("best")
+    keep = linked.filter("class is not null").groupBy("class").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.mark").alias("_mark"))
+    keep = written(keep.union(linked.filter("class is null").select("doc_id", "mark").distinct()), "kept")
+    own = docs.withColumn("_own", F.xxhash64("text"))
+    stay = own.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left_semi").drop("_own")
+    ids = docs.select("doc_id", F.xxhash64("text").alias("m"))
+    repeats = ids.groupBy("doc_id", "m").count().filter("count > 1").limit(1).count()
+    return stay.dropDuplicates(["doc_id", "text"]) if repeats else stay

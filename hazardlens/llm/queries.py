@@ -57,7 +57,7 @@ def op6_secret_scan(spark, sf):
 
 
 def op10_jaccard_join(spark, sf):
-    return jaccard_join.link(documents(spark, sf), width=3, num=90, den=100)
+    return jaccard_join.link(documents(spark, sf), width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazardlens.llm.common import written
+
 SCOPE = 300
 ROLES = ("identifier", "secret", "endpoint")
 
@@ -131,6 +133,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     A text without a reported part, a null text and every other column come back as they were.
     """
     spans = parts(docs).filter("reported").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = written(spans, "secret_spans")
     s = spans.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
     joined = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit("")))).join(
         s, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left"

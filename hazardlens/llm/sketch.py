@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hazardlens.llm.common import release
 from hazardlens.llm.kernel import U, pack_gaps, unpack_gaps
 
 MAX_BITS = 28
 SHARD_BITS = 22
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 _ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -106,4 +107,5 @@ def build(
         row, s = divmod(got["shard"], shards)
         for t, plane in enumerate(got["planes"]):
             sketch.planes[row][t][s * width : (s + 1) * width] = np.frombuffer(plane, np.uint8)
+    release(rows.sparkSession)
     return sketch

@@ -35,7 +35,7 @@ def ids_repeat(docs: DataFrame) -> bool:
 def covered(docs: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
     """(doc_id, mark, starts): the window starts of each row that begin in a document with a smaller doc_id as well.
 
-    Rows without such windows are not listed. ``mark`` is 0, or the text's hash where doc_ids repeat.
+    A written table. Rows without such windows are not listed. ``mark`` is 0, or the text's hash where doc_ids repeat.
     """
     marked = ids_repeat(docs)
 
@@ -72,7 +72,9 @@ def covered(docs: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
     first = F.first("doc_id").over(order)
     later = rows.withColumn("first", first).filter("first < doc_id or (doc_id is null and first is not null)")
     starts = F.sort_array(F.collect_set(F.col("x").bitwiseAND((1 << 32) - 1).cast("int")))
-    return later.groupBy("doc_id", "mark").agg(starts.alias("starts"))
+    out = written(later.groupBy("doc_id", "mark").agg(starts.alias("starts")), "covered")
+    shared.destroy()
+    return out
 
 
 def dedup(docs: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
@@ -82,7 +84,7 @@ def dedup(docs: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
     its own and never remove from each other; a null doc_id comes after all others. No rows give no rows.
     """
     marked = ids_repeat(docs)
-    flags = written(covered(docs, width), "covered")
+    flags = covered(docs, width)
     members = Members(flags, "doc_id")
     shared = docs.sparkSession.sparkContext.broadcast(members.map)
 

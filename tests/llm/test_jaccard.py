@@ -61,7 +61,7 @@ def test_components_against_brute_force(spark, small, which, width, num, monkeyp
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 2000)  # so clusters take several blocks
     monkeypatch.setattr(jaccard_join, "ROW_WEIGHT", 200)
     rows = {"odd": [r[:2] for r in ODD] * 2, "sample": [r[:2] for r in sample(small)], "edited": edited(width), "empty": []}[which]
-    got = sorted((tuple(r) for r in jaccard_join.link(docs_frame(spark, rows), width, num, 100).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in jaccard_join.link(docs_frame(spark, rows), width, num, 100).collect()), key=str)
     assert got == brute(rows, width, num, 100)
 
 
@@ -70,3 +70,20 @@ def test_query(spark, small):
     got = sorted((tuple(r) for r in queries()["op10_jaccard_join"](spark, small).collect()), key=str)
     assert got == brute(rows, 3, 90, 100)
     assert any(c != d for d, _, c, _ in got)
+
+
+def test_one_of_each(spark):
+    rows = edited(7) + [r[:2] for r in ODD] * 2 + [(None, "q r s t u v w"), (None, "q r s t u v w")]
+    out = jaccard_join.one_of_each(docs_frame(spark, rows), 3, 90)
+    assert out.columns == docs_frame(spark, rows).columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    parts = {}
+    for i, n, c, _ in brute([(i, t) for i, (_, t) in enumerate(rows)], 3, 90, 100):
+        if n:
+            parts.setdefault(c, set()).add(rows[i])
+    assert len(got) == len(set(got)) and len([g for g in got if words(g[1])]) == len(parts)
+    for members in parts.values():
+        (stays,) = members & set(got)
+        assert stays[0] == min((d for d, _ in members if d is not None), default=None)
+    assert {g for g in got if not words(g[1])} == {r for r in rows if not words(r[1])}
+
