@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlens.llm import ann, decontaminate, jaccard_join, maxent, mixing, quality, secret_scan, substring_dedup, surrogates
+from hazardlens.llm import ann, decontaminate, jaccard_join, maxent, mixing, quality, secret_scan, substring_dedup, suffix_dedup, surrogates
 from hazardlens.llm.common import documents
 
 
+def op8_suffix_dedup(spark, sf):
+    out = suffix_dedup.dedup(documents(spark, sf))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_substring_dedup(spark, sf):
     out = substring_dedup.dedup(documents(spark, sf))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -61,7 +66,7 @@ def op10_jaccard_join(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_pii_surrogates, op2_decontamination, op3_maxent_lm, op4_quality_classifier, op5_ann_hnsw, op6_secret_scan, op7_pfair_mixing, op9_substring_dedup, op10_jaccard_join)}
+    return {q.__name__: q for q in (op1_pii_surrogates, op2_decontamination, op3_maxent_lm, op4_quality_classifier, op5_ann_hnsw, op6_secret_scan, op7_pfair_mixing, op8_suffix_dedup, op9_substring_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
