@@ -12,11 +12,23 @@ def round_to(value: Column, digits: int) -> Column:
     return F.floor(value * scale + F.lit(0.5)).cast("double") / scale
 
 
+def finite(value: Column) -> Column:
+    """The value, NULL where it is NaN or infinite."""
+    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
+
+
 def exact_sum(value: Column) -> Column:
-    """Sum a double as decimal so that the result does not depend on task order."""
-    return F.sum(value.try_cast("decimal(28,6)")).cast("double")
+    """Sum of the finite values; NULL without any.
+
+    Values below 1e16 are summed as decimals rounded to 12 places, so their sum does not depend on task order. Larger
+    ones do not fit a decimal and are added as doubles.
+    """
+    own = finite(value.cast("double"))
+    small = own.try_cast("decimal(28,12)")
+    decimals, rest = F.sum(small).cast("double"), F.sum(F.when(small.isNull(), own))
+    return F.when(decimals.isNull(), rest).otherwise(decimals + F.coalesce(rest, F.lit(0.0)))
 
 
 def exact_avg(value: Column) -> Column:
-    """Average of the non-null values on top of ``exact_sum``; NULL without values."""
-    return exact_sum(value) / F.nullif(F.count(value), F.lit(0)).cast("double")
+    """Average of the values that ``exact_sum`` adds; NULL without any."""
+    return exact_sum(value) / F.nullif(F.count(finite(value.cast("double"))), F.lit(0)).cast("double")

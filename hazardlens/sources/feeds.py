@@ -6,16 +6,17 @@ transformation (no shuffle) that also accepts payload text decoded with ``decode
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from hazardlens import schemas
 from hazardlens.functions import places
-from hazardlens.functions.numbers import round_to
+from hazardlens.functions.numbers import finite, round_to
 from hazardlens.functions.rows import evaluate_once
-
-EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+from hazardlens.functions.times import EPOCH, utc_from_text
 
 
 def decode_payload(payloads: DataFrame, schema: StructType, column: str = "value") -> DataFrame:
@@ -23,17 +24,31 @@ def decode_payload(payloads: DataFrame, schema: StructType, column: str = "value
     return payloads.select(F.inline(F.array(F.from_json(F.col(column), schema))))
 
 
-def read_geojson(spark: SparkSession, path) -> DataFrame:
-    return spark.read.schema(schemas.GEOJSON).json(path, multiLine=True)
+def read_geojson(spark: SparkSession, path, lines: bool = False) -> DataFrame:
+    """Feed documents; with ``lines`` one document per line, the form for archives, as such files split over tasks."""
+    return spark.read.schema(schemas.GEOJSON).json(path, multiLine=not lines)
 
 
-def read_natural_events(spark: SparkSession, path) -> DataFrame:
-    return spark.read.schema(schemas.NATURAL_EVENTS).json(path, multiLine=True)
+def read_natural_events(spark: SparkSession, path, lines: bool = False) -> DataFrame:
+    """As ``read_geojson``, for natural-event documents."""
+    return spark.read.schema(schemas.NATURAL_EVENTS).json(path, multiLine=not lines)
 
 
 def read_fire_csv(spark: SparkSession, path) -> DataFrame:
-    """Columns are matched by header name and stay text."""
-    return spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
+    """Columns are matched by the header of each file and stay text; files may differ in order and in extra columns.
+
+    Only the distinct headers and the names of the files come to the driver.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    is_header = F.lit(True)
+    for name in schemas.FIRE_CSV_COLUMNS:
+        is_header = is_header & F.array_contains(F.transform(F.split("value", ","), lambda c: F.trim(F.translate(c, '"\ufeff', ""))), name)
+    headers = lines.filter(is_header).groupBy("file").agg(F.min("value").alias("header"))
+    by_header = headers.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
+    if not by_header:
+        return spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
+    parts = [spark.read.csv(r["files"], header=True, inferSchema=False, enforceSchema=False) for r in by_header]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def utc_from_millis(millis: Column) -> Column:
@@ -67,18 +82,23 @@ def _blank(name: str) -> Column:
     return F.length(F.trim(F.coalesce(F.col(name), F.lit("")))) == 0
 
 
-def fire_rows_checked(raw: DataFrame) -> DataFrame:
-    """Every CSV row with its parsed fields and a ``reason`` that is NULL for good rows."""
+def fire_rows_checked(raw: DataFrame, id_prefix: str = "", missing_clock: str | None = None) -> DataFrame:
+    """Every CSV row with its parsed fields and a ``reason`` that is NULL for good rows.
+
+    ``id_prefix`` stands before the composite id; ``missing_clock``, such as "0000", stands for a missing time of day.
+    """
+    if missing_clock is not None:
+        raw = raw.withColumn("acq_time", F.when(_blank("acq_time"), F.lit(missing_clock)).otherwise(F.col("acq_time")))
     clock = F.trim("acq_time")
     padded = F.lpad(clock, 4, "0")
     stamp = F.concat(F.trim("acq_date"), F.lit(" "), F.substring(padded, 1, 2), F.lit(":"), F.substring(padded, 3, 2))
     parsed = raw.select(
         *schemas.FIRE_CSV_COLUMNS,
-        F.concat_ws("_", *[F.trim(F.coalesce(c, F.lit(""))) for c in schemas.FIRE_CSV_COLUMNS[:4]]).alias("id"),
+        F.concat(F.lit(id_prefix), F.concat_ws("_", *[F.trim(F.coalesce(c, F.lit(""))) for c in schemas.FIRE_CSV_COLUMNS[:4]])).alias("id"),
         F.when(F.length(clock) <= 4, stamp.try_cast("timestamp_ntz")).alias("time"),
-        F.trim("frp").try_cast("double").alias("frp_value"),
-        F.trim("latitude").try_cast("double").alias("lat"),
-        F.trim("longitude").try_cast("double").alias("lon"),
+        finite(F.trim("frp").try_cast("double")).alias("frp_value"),
+        finite(F.trim("latitude").try_cast("double")).alias("lat"),
+        finite(F.trim("longitude").try_cast("double")).alias("lon"),
     )
     reason = (
         F.when(_blank("acq_date") | _blank("acq_time"), "acquisition date or time missing")
@@ -90,9 +110,9 @@ def fire_rows_checked(raw: DataFrame) -> DataFrame:
     return evaluate_once(parsed, *parsed.columns[5:], reason.alias("reason"), beside=list(schemas.FIRE_CSV_COLUMNS))
 
 
-def fire_rows(raw: DataFrame) -> DataFrame:
+def fire_rows(raw: DataFrame, id_prefix: str = "", missing_clock: str | None = None) -> DataFrame:
     """Good fire rows; place, city and country are derived from the region of the point."""
-    good = fire_rows_checked(raw).filter(F.col("reason").isNull())
+    good = fire_rows_checked(raw, id_prefix, missing_clock).filter(F.col("reason").isNull())
     return good.select(
         "id", "time", F.col("frp_value").alias("frp"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
         places.region_of(F.col("lat"), F.col("lon")).alias("place"),
@@ -109,8 +129,8 @@ def natural_event_rows(documents: DataFrame) -> DataFrame:
     e = documents.select(F.explode("events").alias("e")).select("e.*")
     n = F.coalesce(F.size("geometry"), F.lit(0))
     last = F.get("geometry", F.greatest(n - 1, F.lit(0)))
-    first_date = F.get("geometry", F.lit(0))["date"].try_cast("timestamp_ntz")
-    last_date = last["date"].try_cast("timestamp_ntz")
+    first_date = utc_from_text(F.get("geometry", F.lit(0))["date"])
+    last_date = utc_from_text(last["date"])
     e = e.withColumn("point", F.from_json(last["coordinates"], "array<double>"))
     lon, lat = F.get("point", F.lit(0)), F.get("point", F.lit(1))
     is_point = (F.size("point") == 2) & lon.isNotNull() & lat.isNotNull()
@@ -139,7 +159,7 @@ def new_rows_only(incoming: DataFrame, loaded: DataFrame, key: str = "id") -> Da
     rest = [c for c in incoming.columns if c not in (key, "last_modified")]
     order = (["last_modified"] if "last_modified" in incoming.columns else []) + rest
     newest = incoming.groupBy(key).agg(F.max(F.struct(*order)).alias("row")).select(key, "row.*")
-    return newest.join(loaded.select(key).distinct(), key, "left_anti").select(*incoming.columns)
+    return newest.join(loaded.select(key), key, "left_anti").select(*incoming.columns)
 
 
 def high_water_mark(rows: DataFrame, column: str = "last_modified") -> DataFrame:
@@ -148,5 +168,8 @@ def high_water_mark(rows: DataFrame, column: str = "last_modified") -> DataFrame
 
 
 def since(rows: DataFrame, mark: Column, column: str = "last_modified") -> DataFrame:
-    """Rows after a stored high-water mark."""
-    return rows.filter(F.col(column) > mark)
+    """Rows from a stored high-water mark on, and rows without a time.
+
+    Rows with the time of the mark may have come after it was taken; ``new_rows_only`` drops what is loaded already.
+    """
+    return rows.filter((F.col(column) >= mark) | F.col(column).isNull())

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +26,22 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     dated.write.mode(mode).partitionBy("type", "event_date").parquet(path)
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="hazardlens-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Only a local session without that setting falls back to a temporary folder of this machine.
+    Only a local session without that setting, such as a test's, gets a temporary folder of this machine; one for the
+    process, removed when it ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="hazardlens-")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

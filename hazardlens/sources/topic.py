@@ -6,23 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hazardlens import params, schemas
+from hazardlens import schemas
+from hazardlens.functions.numbers import finite
+from hazardlens.functions.times import utc_from_text
 
 
 def topic_stream(
     spark: SparkSession,
     servers: str,
     topic: str,
-    starting: str = "latest",
-    max_records: int | None = params.MAX_RECORDS_PER_TRIGGER,
+    starting: str = "earliest",
+    max_records: int | None = None,
+    fail_on_data_loss: bool = True,
 ) -> DataFrame:
-    """A Kafka topic as (value, timestamp); needs the public Kafka connector on the classpath."""
+    """A Kafka topic as (value, timestamp); needs the public Kafka connector on the classpath.
+
+    By default everything that the topic holds is read, unthrottled, and lost data is an error;
+    ``params.MAX_RECORDS_PER_TRIGGER`` is the intake limit of a small installation.
+    """
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", starting)
-        .option("failOnDataLoss", "false")
+        .option("failOnDataLoss", str(fail_on_data_loss).lower())
     )
     if max_records:
         reader = reader.option("maxOffsetsPerTrigger", str(max_records))
@@ -44,7 +51,11 @@ def _decoded(messages: DataFrame, schema: StructType) -> DataFrame:
     data = F.from_json(F.col("value").cast("string"), schema)
     fields = messages.select("value", "timestamp", F.inline(F.array(data)))
     number = {n: F.col(n).try_cast("double") for n in schemas.MESSAGE_NUMBERS if n in schema.names}
-    return fields.withColumns({"time": F.col("time").try_cast("timestamp_ntz"), **number})
+    endless = F.lit(False)
+    for value in number.values():
+        endless = endless | (value.isNotNull() & finite(value).isNull())
+    known = {n: finite(value) for n, value in number.items()}
+    return fields.withColumns({"time": utc_from_text(F.col("time")), "endless": endless, **known})
 
 
 def decode_messages(messages: DataFrame, schema: StructType) -> DataFrame:
@@ -58,8 +69,15 @@ def decode_messages(messages: DataFrame, schema: StructType) -> DataFrame:
 
 
 def message_rejects(messages: DataFrame, schema: StructType) -> DataFrame:
-    """Messages that ``decode_messages`` drops or leaves without a time, with the reason."""
-    reason = F.when(F.col("id").isNull(), "no readable id").when(F.col("time").isNull(), "time unreadable")
+    """Messages that ``decode_messages`` drops or leaves without a time or a number, with the reason.
+
+    A NaN or infinite number is NULL in the decoded row, which stays, and is listed here.
+    """
+    reason = (
+        F.when(F.col("id").isNull(), "no readable id")
+        .when(F.col("time").isNull(), "time unreadable")
+        .when(F.col("endless"), "number not finite")
+    )
     return _decoded(messages, schema).select("value", "timestamp", reason.alias("reason")).filter("reason IS NOT NULL")
 
 

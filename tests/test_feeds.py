@@ -8,6 +8,7 @@ import json
 from conftest import rows
 
 from hazardlens import schemas
+from hazardlens.functions import times
 from hazardlens.sources import feeds, tables, topic
 
 
@@ -101,7 +102,7 @@ def test_incremental_load_and_mark(spark):
     mark = feeds.high_water_mark(new).first()
     assert mark["high_water_mark"] == dt.datetime(2024, 1, 3) and mark["row_count"] == 2
     bound = feeds.high_water_mark(loaded).select("high_water_mark").scalar()
-    assert {r["id"] for r in feeds.since(incoming, bound).collect()} == {"b"}
+    assert {r["id"] for r in feeds.since(incoming, bound).collect()} == {"a", "b", "c"}
 
 
 def test_event_table_prunes_by_type_and_date(spark, tmp_path):
@@ -112,3 +113,27 @@ def test_event_table_prunes_by_type_and_date(spark, tmp_path):
     back = tables.read_events(spark, str(tmp_path / "t")).filter("type = 'fire'")
     assert rows(back, "id") == [("1",)]
     assert "PartitionFilters: [isnotnull(type" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_times_with_an_offset(spark):
+    texts = ["2024-01-01T12:00:00+02:00", "2024-01-01 12:00:00Z", "2024-01-01T12:00:00.25-0130", "2024-01-01 12:00:00", "2024-01-01", "soon", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    noon = dt.datetime(2024, 1, 1, 12)
+    hour = dt.timedelta(hours=1)
+    got = [r[0] for r in df.orderBy("i").select(times.utc_from_text(F.col("t"))).collect()]
+    assert got == [noon - 2 * hour, noon, noon + 1.5 * hour + dt.timedelta(milliseconds=250), noon, dt.datetime(2024, 1, 1), None, None]
+
+
+def test_csv_files_with_other_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("latitude,longitude,acq_date,acq_time,frp\n1,2,2024-01-01,0130,5\n")
+    (tmp_path / "b.csv").write_text("frp,acq_time,acq_date,longitude,latitude,confidence\n7,,2024-01-02,4,3,high\n")
+    raw = feeds.read_fire_csv(spark, str(tmp_path))
+    assert rows(feeds.fire_rows(raw), "latitude", "longitude", "frp") == [(1.0, 2.0, 5.0)]
+    full = feeds.fire_rows(raw, id_prefix="fire_", missing_clock="0000")
+    assert rows(full, "id", "time", "frp") == [("fire_1_2_2024-01-01_0130", dt.datetime(2024, 1, 1, 1, 30), 5.0), ("fire_3_4_2024-01-02_0000", dt.datetime(2024, 1, 2), 7.0)]
+
+
+def test_feed_documents_a_line_each(spark, tmp_path):
+    line = '{"features": [{"id": "%s", "properties": {"mag": 1.0, "time": 0}, "geometry": {"coordinates": [1, 2]}}]}'
+    (tmp_path / "x.json").write_text("\n".join(line % i for i in "ab"))
+    assert rows(feeds.quake_rows(feeds.read_geojson(spark, str(tmp_path), lines=True)), "id") == [("a",), ("b",)]
