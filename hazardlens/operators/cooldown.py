@@ -64,8 +64,15 @@ def fire_block(seconds: np.ndarray, allowed: int, cooldown: int) -> np.ndarray:
     return seconds[fired]
 
 
-def apply(candidates: DataFrame, cooldown: int, block: int = BLOCK_SECONDS) -> DataFrame:
-    """Candidates that fire under the cooldown, one row per (alert_key, second)."""
+def apply(candidates: DataFrame, cooldown: int, block: int = BLOCK_SECONDS, entry: DataFrame | None = None) -> DataFrame:
+    """Candidates that fire under the cooldown, one row per (alert_key, second).
+
+    ``entry`` (alert_key, allowed) gives keys the epoch second before which they may not fire. A cooldown of 0 lets
+    every second fire, as one of 1 does; a negative one is an error.
+    """
+    if cooldown < 0:
+        raise ValueError("a cooldown cannot be negative")
+    cooldown = max(1, cooldown)
     block = max(block, cooldown)
     combined = combine_seconds(candidates)
     epoch = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', second)")
@@ -97,9 +104,11 @@ def apply(candidates: DataFrame, cooldown: int, block: int = BLOCK_SECONDS) -> D
         fired = fire_block(np.sort(seconds["s"].to_numpy()), int(entry["allowed"].iloc[0]), cooldown)
         return pd.DataFrame({"alert_key": key[0], "s": fired})
 
+    solved = blocked.applyInPandas(steps, "alert_key string, block bigint, upto bigint, leave bigint")
+    if entry is not None:  # as a block before all others that every state leaves with what is allowed
+        solved = solved.union(entry.select("alert_key", F.lit(NEVER), F.lit(-NEVER), "allowed"))
     entries = (
-        blocked.applyInPandas(steps, "alert_key string, block bigint, upto bigint, leave bigint")
-        .repartition("alert_key")
+        solved.repartition("alert_key")
         .sortWithinPartitions("alert_key", "block", "upto")
         .mapInPandas(chain, "alert_key string, block bigint, allowed bigint")
     )

@@ -12,7 +12,7 @@ from hazardlens.functions import geometry, places
 from hazardlens.functions.grading import grade
 from hazardlens.functions.numbers import round_to
 from hazardlens.operators.events import event_value
-from hazardlens.operators.skew import hot_keys, salted_join, small_side
+from hazardlens.operators.skew import hot_keys, salted_join
 
 FINE_PER_COARSE = 8
 
@@ -191,15 +191,13 @@ def merge_colocated(events: DataFrame, quake_grades=None, fire_grades=None) -> D
 def resolve_ids(events: DataFrame, ids: DataFrame) -> DataFrame:
     """The event behind each wanted id; a merged id gives the newest event of its type and coordinate.
 
-    ``ids`` has one column ``wanted_id``. Events are first reduced to the wanted ones, without a
-    shuffle while the ids are few, then to one row per key by a combining aggregate, so neither a
+    ``ids`` has one column ``wanted_id``. Events are first reduced to the wanted ones, then to one row per key by a combining aggregate, so neither a
     repeated id nor a crowded coordinate fans out.
     """
-    wanted = small_side(ids.select("wanted_id").distinct())
-    parts = F.split("wanted_id", "_")
-    merged_ids = wanted.filter(F.col("wanted_id").startswith("merged_") & (F.size(parts) == 5)).select(
-        "wanted_id", F.get(parts, F.lit(1)).alias("type"),
-        F.concat_ws("_", F.get(parts, F.lit(2)), F.get(parts, F.lit(3))).alias("coord"),
+    wanted = ids.select("wanted_id").distinct()
+    form = "^merged_(.+)_([^_]+_[^_]+)_[^_]+$"  # a type may hold underscores itself
+    merged_ids = wanted.filter(F.col("wanted_id").rlike(form)).select(
+        "wanted_id", F.regexp_extract("wanted_id", form, 1).alias("type"), F.regexp_extract("wanted_id", form, 2).alias("coord"),
     )
     newest = F.max(F.struct("time", "id", "type")).alias("newest")
     narrow = events.select("id", "type", "time", "latitude", "longitude")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from hazardlens import params
 from hazardlens.functions.grading import vulnerability_label
-from hazardlens.functions.numbers import exact_sum, round_to
+from hazardlens.functions.numbers import exact_sum, finite, round_to
 from hazardlens.functions.rows import evaluate_once
-from hazardlens.operators.skew import hot_keys, salted_join, small_side
+from hazardlens.operators.skew import hot_keys, salted_join
 
 
 def correlations(disasters: DataFrame, days: int = params.CORRELATION_DAYS) -> DataFrame:
@@ -57,12 +57,12 @@ def anomalies(disasters: DataFrame, z: dict[str, float] | None = None) -> DataFr
     """Disasters that exceed avg + z * stddev of their type in at least one metric.
 
     A missing metric never fires; the label names the metric with the largest z-score. The
-    statistics have one row per disaster type and are broadcast only after a look at their size.
+    statistics have one row per disaster type; how they are joined is left to Spark's size estimates.
     """
     limits = {m: 3.0 for m in ANOMALY_METRICS} | (z or {})
     stats = disasters.groupBy("disaster_type").agg(
-        *[F.avg(m).alias(f"{m}_avg") for m in ANOMALY_METRICS],
-        *[F.stddev_samp(m).alias(f"{m}_std") for m in ANOMALY_METRICS],
+        *[F.avg(finite(F.col(m).cast("double"))).alias(f"{m}_avg") for m in ANOMALY_METRICS],
+        *[F.stddev_samp(finite(F.col(m).cast("double"))).alias(f"{m}_std") for m in ANOMALY_METRICS],
     )
     overs, scores = [], []
     for m in ANOMALY_METRICS:
@@ -71,7 +71,7 @@ def anomalies(disasters: DataFrame, z: dict[str, float] | None = None) -> DataFr
         scores.append(F.when(over, (F.col(m) - F.col(f"{m}_avg")) / F.nullif(F.col(f"{m}_std"), F.lit(0.0))))
     top = F.greatest(*scores)
     label = F.coalesce(*[F.when(s == top, F.lit(m)) for m, s in zip(ANOMALY_METRICS, scores)])
-    odd = disasters.join(small_side(stats), "disaster_type").filter(overs[0] | overs[1] | overs[2])
+    odd = disasters.join(stats, "disaster_type").filter(overs[0] | overs[1] | overs[2])
     return evaluate_once(odd, label.alias("anomaly_type"), beside=disasters.columns)
 
 

@@ -39,11 +39,11 @@ def anomaly_list(
     anomalies: DataFrame,
     disaster_type: str = ALL,
     anomaly_type: str = ALL,
-    years: tuple[int, int] = (2000, 2024),
+    years: tuple[int, int] | None = None,
     by: str | None = None,
     direction: str = "asc",
 ) -> DataFrame:
-    out = anomalies.filter(F.year("start_date").between(*years))
+    out = anomalies if years is None else anomalies.filter(F.year("start_date").between(*years))
     if disaster_type != ALL:
         out = out.filter(F.lower("disaster_type") == disaster_type.lower())
     if anomaly_type != ALL:

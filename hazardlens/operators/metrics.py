@@ -67,12 +67,17 @@ def kpi_cards(events: DataFrame, as_of) -> DataFrame:
 
 
 def severity_distribution(events: DataFrame, levels=("high", "moderate", "low")) -> DataFrame:
-    """Count and share of every level, present or not, from one conditional aggregate."""
-    counts = events.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in levels])
-    total = sum((F.col(s) for s in levels[1:]), F.col(levels[0]))
-    rows = counts.withColumn("total", total).select(
-        "total", F.inline(F.array(*[F.struct(F.lit(s).alias("severity"), F.col(s).alias("event_count")) for s in levels]))
-    )
+    """Count and share of every level, present or not, in either case, from one conditional aggregate.
+
+    Events of any other level, or of none, are the row "other", which is there only if it counts something.
+    """
+    own = F.lower("severity")
+    names = [*levels, "other"]
+    other = F.count_if(~F.coalesce(own.isin(*levels), F.lit(False)))
+    counts = events.agg(*[F.count_if(own == s).alias(s) for s in levels], other.alias("other"), F.count("*").alias("total"))
+    rows = counts.select(
+        "total", F.inline(F.array(*[F.struct(F.lit(s).alias("severity"), F.col(s).alias("event_count")) for s in names]))
+    ).filter("severity <> 'other' OR event_count > 0")
     share = F.col("event_count") * 100 / F.nullif(F.col("total"), F.lit(0))
     return rows.select("severity", "event_count", F.coalesce(round_to(share, 0), F.lit(0.0)).alias("percentage"))
 

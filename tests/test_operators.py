@@ -12,6 +12,7 @@ from conftest import optimized, plan, rows
 from pyspark.sql import functions as F
 
 from hazardlens import params
+from hazardlens.functions import numbers
 from hazardlens.operators import alerts, cells, cooldown, events, geo, history, listing, metrics, skew
 from hazardlens.plans import views
 
@@ -231,7 +232,7 @@ def test_correlation_boundaries(spark):
 
 
 def test_correlations_equal_brute_force_with_hot_buckets(spark, monkeypatch):
-    monkeypatch.setattr(history, "hot_keys", lambda counted, keys: skew.hot_keys(counted, keys, parts=20, floor=5))
+    monkeypatch.setattr(history, "hot_keys", lambda counted, keys: skew.hot_keys(counted, keys, tasks=1, partitions=20))
     rng = random.Random(7)
     data = []
     for n in range(400):
@@ -345,17 +346,35 @@ def test_salted_join_equals_plain_join(spark, how):
     key = F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 3 == 1, F.col("id") % 50)
     left = spark.range(3000).select(key.alias("k"), "id")
     right = spark.createDataFrame([(-1, "hot")] + [(k, f"v{k}") for k in range(0, 40)], "k long, v string")
-    hot = skew.hot_keys(left.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("rows")), ["k"], parts=10, floor=10)
-    assert rows(hot) == [(-1,)]
-    salted = skew.salted_join(left, right, ["k"], hot, how, salts=8)
+    hot = skew.hot_keys(left.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("rows")), ["k"], tasks=1, partitions=10)
+    assert rows(hot) == [(-1, 5)]
+    salted = skew.salted_join(left, right, ["k"], hot, how)
     assert rows(salted, "k", "id", "v") == rows(left.join(right, "k", how), "k", "id", "v")
 
 
-def test_small_side_falls_back(spark):
-    df = spark.range(20)
-    assert "ResolvedHint" not in df._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in skew.small_side(df, 100)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" not in skew.small_side(df, 10)._jdf.queryExecution().analyzed().toString()
+def test_sums_and_averages_with_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    sums = lambda *v: tuple(spark.createDataFrame([(x,) for x in v], "v double").agg(numbers.exact_sum(F.col("v")), numbers.exact_avg(F.col("v"))).first())
+    assert sums(1.0, nan, 3.0) == sums(1.0, 3.0, inf, -inf, None) == (4.0, 2.0)
+    assert sums(1e25, 3.0) == (1e25 + 3, (1e25 + 3) / 2)
+    assert sums(0.1234567, 0.0000001) == (0.1234568, 0.0617284)
+    assert sums(nan, None) == sums(None) == (None, None)
+
+
+def test_unknown_levels_are_counted(spark):
+    e = spark.createDataFrame([("High",), ("low",), ("Extreme",), (None,)], "severity string")
+    assert rows(metrics.severity_distribution(e)) == [("high", 1, 25.0), ("low", 1, 25.0), ("moderate", 0, 0.0), ("other", 2, 50.0)]
+
+
+def test_later_years_stay_in_the_anomaly_list(spark):
+    df = spark.createDataFrame([("a", "Flood", "deaths", dt.datetime(2031, 1, 1), 1.0, 1, 1)], "id string, disaster_type string, anomaly_type string, start_date timestamp_ntz, magnitude double, deaths long, affected long")
+    assert listing.anomaly_list(df).count() == 1
+
+
+def test_merged_ids_of_types_with_underscores(spark):
+    e = spark.createDataFrame([("a", "volcanic_activity", dt.datetime(2024, 1, 1), 1.5, 2.5)], "id string, type string, time timestamp_ntz, latitude double, longitude double")
+    ids = spark.createDataFrame([("merged_volcanic_activity_1.500000_2.500000_1",), ("merged_x",)], "wanted_id string")
+    assert rows(geo.resolve_ids(e, ids), "wanted_id", "id") == [("merged_volcanic_activity_1.500000_2.500000_1", "a")]
 
 
 # --- plans ----------------------------------------------------------------------------------
