@@ -381,4 +381,5 @@ SELECT count(*) AS total_countries, floor(CAST(sum(CAST(vulnerability_index AS D
   count(*) FILTER (vulnerability_index >= 0.8) AS critical_countries FROM countries""",
         "vulnerability_list": "SELECT * FROM countries WHERE contains(lower(country), 'nation_1')",
     }
+    plain["stream_cells"] = plain["event_cells"]
     return {name: text if text.startswith("WITH ") else _with(text.strip()) for name, text in plain.items()}

@@ -65,8 +65,12 @@ def high_water_mark(spark, sf):
 
 
 def _plain_events(spark, sf) -> DataFrame:
+    return _plain(views.events(spark, sf))
+
+
+def _plain(rows: DataFrame) -> DataFrame:
     """Events with numbers as fixed-point decimals, whose text is the same on every engine."""
-    return views.events(spark, sf).withColumns(
+    return rows.withColumns(
         {
             "latitude": F.col("latitude").cast("decimal(9,4)"),
             "longitude": F.col("longitude").cast("decimal(9,4)"),
@@ -286,24 +290,32 @@ def queries() -> dict[str, Query]:
         "stream_metrics": stream_metrics,
         "stream_dedupe": stream_dedupe,
         "stream_alerts": stream_alerts,
+        "stream_cells": stream_cells,
     }
     return {name: _registered(query) for name, query in plain.items()}
 
 
-def _stream_events(spark, sf, levels: int = 4) -> DataFrame:
-    h = views.hazard_of(views.events_stream(spark, sf), views.table(spark, sf, "nation"))
-    return jobs.watermarked(views.events_of(h, levels))
+def _arriving(spark, sf):
+    """Hazard rows of events that arrive in several stretches; the jobs start anew for each."""
+    stream, arrivals = views.events_stream(spark, sf)
+    return views.events_of(views.hazard_of(stream, views.table(spark, sf, "nation"))), arrivals
 
 
 def stream_metrics(spark, sf):
-    return jobs.run_metrics(_stream_events(spark, sf))
+    rows, arrivals = _arriving(spark, sf)
+    return jobs.run_metrics(jobs.watermarked(rows), arrivals)
 
 
 def stream_dedupe(spark, sf):
-    h = views.hazard_of(views.events_stream(spark, sf), views.table(spark, sf, "nation"))
-    feed = views.resent(views.events_of(h))
-    return jobs.run_dedupe(jobs.watermarked(feed)).select("id", "type", "time", "severity", "magnitude", "frp")
+    rows, arrivals = _arriving(spark, sf)
+    return jobs.run_dedupe(jobs.watermarked(views.resent(rows)), arrivals).select("id", "type", "time", "severity", "magnitude", "frp")
 
 
 def stream_alerts(spark, sf):
-    return jobs.run_alerts(_stream_events(spark, sf), QUERY_COOLDOWN)
+    rows, arrivals = _arriving(spark, sf)
+    return jobs.run_alerts(jobs.watermarked(rows), QUERY_COOLDOWN, arrivals)
+
+
+def stream_cells(spark, sf):
+    rows, arrivals = _arriving(spark, sf)
+    return jobs.run_cells(jobs.watermarked(_plain(rows)), arrivals)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
@@ -11,7 +14,7 @@ from hazardlens.functions import places
 from hazardlens.operators.events import graded, unify
 from hazardlens.schemas import HAZARD_EVENT
 from hazardlens.sources import feeds
-from hazardlens.sources.tables import read_events
+from hazardlens.sources.tables import read_events, shared_folder
 from hazardlens.sources.topic import file_stream
 
 EVENTS_SCHEMA = StructType(
@@ -33,12 +36,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_events(spark, f"{sf_dir}/{name}.parquet")
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a file stream, event time as the timestamp type that watermarks need.
+def events_stream(spark: SparkSession, sf_dir: str, parts: int = 3) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """The event table as files that arrive in the order of their times, and the arrivals that are still to come.
 
-    The path is a glob because a stream takes a plain path for a folder, and the table may be one file.
+    Each arrival lands the next stretch of time in a folder under the shared one; the first has landed. Event time has
+    the timestamp type that watermarks need; events without one are in the first stretch.
     """
-    return file_stream(spark, f"{sf_dir}/[e]vents.parquet", EVENTS_SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events")
+    folder = shared_folder(spark, "arriving")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [] if low is None else [low + (high - low) * i / parts for i in range(1, parts)]
+
+    def land(i: int) -> None:
+        own = F.lit(True)
+        if i:
+            own = own & (F.col("ts") >= F.lit(cuts[i - 1]).cast("timestamp_ntz"))
+        if i < len(cuts):
+            own = own & (F.col("ts") < F.lit(cuts[i]).cast("timestamp_ntz"))
+        (events.filter(own) if i else events.filter(own | F.col("ts").isNull())).write.mode("append").parquet(folder)
+
+    land(0)
+    stream = file_stream(spark, folder, EVENTS_SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream, [partial(land, i) for i in range(1, len(cuts) + 1)]
 
 
 def hazard_of(events: DataFrame, nation: DataFrame) -> DataFrame:
@@ -47,8 +66,8 @@ def hazard_of(events: DataFrame, nation: DataFrame) -> DataFrame:
     for name, disaster_type in DISASTER_OF.items():
         disaster = F.when(kind == name, F.lit(disaster_type)).otherwise(disaster)
     e = events.withColumns(
-        {"k": F.regexp_extract("props", "[0-9]+", 0).cast("bigint"), "n_nationkey": F.col("user_id") % 25}
-    ).join(nation.select("n_nationkey", "n_name"), "n_nationkey")
+        {"k": F.regexp_extract("props", "[0-9]+", 0).cast("bigint"), "n_nationkey": F.pmod("user_id", F.lit(25))}
+    ).join(nation.select("n_nationkey", "n_name"), "n_nationkey", "left")
     user, k = F.col("user_id"), F.col("k")
     return e.select(
         F.col("event_id").cast("string").alias("id"),

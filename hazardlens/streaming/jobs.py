@@ -7,20 +7,19 @@ own checkpoint; every ``run_*`` drains what is available, ends, and returns the
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hazardlens import params, schemas
 from hazardlens.functions import places
-from hazardlens.operators import alerts, geo, metrics
+from hazardlens.operators import alerts, cooldown, geo, metrics
 from hazardlens.operators.events import unify
 from hazardlens.sources import topic
 from hazardlens.sources.tables import shared_folder
-from hazardlens.streaming import sinks, state
+from hazardlens.streaming import sinks
 
 DRAIN = {"availableNow": True}
 
@@ -41,16 +40,24 @@ def event_stream(
 
     Earthquakes take city and country from the place text: around " of " and the last comma, or
     with ``comma_places`` simply the first two comma parts. Rows without a readable time cannot
-    take part in event time; ``topic.message_rejects`` lists them.
+    take part in event time; ``start_rejects`` lists them. Each feed has its own watermark, so the feed that lags
+    is not late against the other one: the time of a query is the smaller of both.
     """
     place = F.col("place")
     if comma_places:
         named = {"city": places.comma_part(place, 0), "country": places.comma_part(place, 1)}
     else:
         named = {"city": places.city_of(place), "country": places.country_of(place)}
-    quakes = topic.decode_messages(quake_messages, schemas.QUAKE_MESSAGE).withColumns(named)
-    fires = topic.decode_messages(fire_messages, schemas.FIRE_MESSAGE)
-    return watermarked(unify(quakes, fires, quake_grades, fire_grades).filter(F.col("time").isNotNull()))
+    timed = F.col("time").isNotNull()
+    quakes = watermarked(topic.decode_messages(quake_messages, schemas.QUAKE_MESSAGE).filter(timed).withColumns(named))
+    fires = watermarked(topic.decode_messages(fire_messages, schemas.FIRE_MESSAGE).filter(timed))
+    return unify(quakes, fires, quake_grades, fire_grades)
+
+
+def rejected(quake_messages: DataFrame, fire_messages: DataFrame) -> DataFrame:
+    """What ``event_stream`` leaves out of either topic, and numbers that are not finite, with the reason."""
+    quakes = topic.message_rejects(quake_messages, schemas.QUAKE_MESSAGE).withColumn("topic", F.lit("earthquake"))
+    return quakes.union(topic.message_rejects(fire_messages, schemas.FIRE_MESSAGE).withColumn("topic", F.lit("fire")))
 
 
 def dedupe_stream(events: DataFrame, key: str = "id") -> DataFrame:
@@ -62,65 +69,111 @@ def _every(interval: str) -> dict[str, object]:
     return {"processingTime": interval}
 
 
+def _event_moment(events: DataFrame) -> Column:
+    return F.coalesce(*[F.col(c).cast("timestamp") for c in ("kafka_timestamp", "time") if c in events.columns])
+
+
 def start_ingest(
     events: DataFrame,
-    path: str,
+    path: str | None,
     checkpoint: str,
     gazetteer: DataFrame | None = None,
     radius_km: float = 50.0,
     trigger: dict[str, object] | None = None,
     name: str = "event_ingest",
+    mode: str = "parquet",
 ) -> StreamingQuery:
-    """Deduplicated events to a table by type; with a gazetteer missing places are filled per batch."""
-    def placed(batch: DataFrame) -> DataFrame:
-        return geo.reverse_geocode(batch, gazetteer, radius_km)
+    """Deduplicated events in any output mode; with a gazetteer missing places are filled per batch.
+
+    As parquet they are a table by type and event date, safe against replays; ``sinks.compact`` joins its files.
+    """
+    save = sinks.deliver(path, mode, F.col("id"), _event_moment(events), by=("type", "event_date"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            out = geo.reverse_geocode(kept, gazetteer, radius_km) if gazetteer is not None else kept
+            save(out.withColumn("event_date", F.to_date("time")) if mode == "parquet" else out, batch_id)
+        finally:
+            kept.unpersist()
 
     return (
         dedupe_stream(events).writeStream.queryName(name)
         .trigger(**(trigger or _every(params.EVENT_TRIGGER)))
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(sinks.batch_folders(path, placed if gazetteer is not None else None, by=("type",)))
+        .foreachBatch(write)
         .start()
     )
 
 
+def start_rejects(
+    quake_messages: DataFrame, fire_messages: DataFrame, path: str, checkpoint: str,
+    trigger: dict[str, object] | None = None, name: str = "rejects",
+) -> StreamingQuery:
+    """The side table of the messages that no event row comes from."""
+    return sinks.writer(rejected(quake_messages, fire_messages), "parquet", path, checkpoint, name, trigger or _every(params.EVENT_TRIGGER)).start()
+
+
 def start_metrics(
     events: DataFrame, path: str | None, checkpoint: str, mode: str = "parquet",
     trigger: dict[str, object] | None = None, name: str = "metrics",
 ) -> StreamingQuery:
     """Window metrics; a row is written once, when the watermark passes the end of its window."""
     out = metrics.window_metrics(events)
-    return sinks.writer(out, mode, path, checkpoint, name, trigger or _every(params.METRIC_TRIGGER)).start()
+    key = F.concat_ws("_", F.date_format("window_start", "yyyyMMddHHmmss"), "type", "severity")
+    return sinks.writer(out, mode, path, checkpoint, name, trigger or _every(params.METRIC_TRIGGER), key, F.col("window_end")).start()
 
 
 def start_alerts(
-    events: DataFrame, path: str | None, checkpoint: str, cooldown: int = params.ALERT_COOLDOWN_SECONDS,
+    events: DataFrame, path: str | None, checkpoint: str, cooldown_seconds: int = params.ALERT_COOLDOWN_SECONDS,
     mode: str = "parquet", trigger: dict[str, object] | None = None, name: str = "alerts",
 ) -> StreamingQuery:
-    """Alerts with a cooldown per type and severity, kept in the RocksDB state store.
+    """Alerts with a cooldown per type and severity, each batch solved like a stored table.
 
-    The keys are the entries of the alert limit table, so more state partitions than that would
-    only be empty tasks.
+    What is carried over is one second per alert key: a table per batch beside the checkpoint. A batch starts from the
+    table of the batch before it and overwrites its own, so a replay gives the same alerts and the same table.
     """
-    spark = events.sparkSession
-    keys = sum(len(by_severity) for by_severity in params.ALERT_LIMITS.values())
-    partitions = min(keys, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    with _settings(spark, {state.PROVIDER: state.ROCKSDB, "spark.sql.shuffle.partitions": str(partitions)}):
-        out = state.cooldown_stream(alerts.alert_candidates(events), cooldown)
-        return sinks.writer(out, mode, path, checkpoint, name, trigger or _every(params.EVENT_TRIGGER)).start()
-
-
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings that a query takes over when it starts, put back afterwards."""
-    before = {key: spark.conf.get(key, None) for key in values}
-    for key, value in values.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    if cooldown_seconds < 0:
+        raise ValueError("a cooldown cannot be negative")
+    states = f"{checkpoint.rstrip('/')}-allowed"
+    save = sinks.deliver(path, mode, F.col("event_id"), F.col("alert_time"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        schema = "alert_key string, allowed bigint"
+        before = spark.read.schema(schema).parquet(f"{states}/batch_id={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
+        kept = batch.persist()
+        fired = cooldown.apply(kept, cooldown_seconds, entry=before).persist()
+        try:
+            epoch = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', second)")
+            latest = fired.select("alert_key", (epoch + max(1, cooldown_seconds)).alias("allowed")).union(before)
+            latest.groupBy("alert_key").agg(F.max("allowed").alias("allowed")).coalesce(1).write.mode("overwrite").parquet(f"{states}/batch_id={batch_id}")
+            save(fired.select("event_type", "severity", "value", "location", F.col("second").alias("alert_time"), "event_id"), batch_id)
+        finally:
+            fired.unpersist()
+            kept.unpersist()
+
+    return (
+        alerts.alert_candidates(events).writeStream.queryName(name)
+        .trigger(**(trigger or _every(params.EVENT_TRIGGER)))
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(write)
+        .start()
+    )
+
+
+def start_all(
+    quake_messages: DataFrame, fire_messages: DataFrame, folder: str, checkpoints: str,
+    gazetteer: DataFrame | None = None, trigger: dict[str, object] | None = None,
+) -> list[StreamingQuery]:
+    """Ingest, metrics, alerts and rejects of both topics, each into its own table under ``folder``."""
+    events = event_stream(quake_messages, fire_messages)
+    return [
+        start_ingest(events, f"{folder}/events", f"{checkpoints}/events", gazetteer, trigger=trigger),
+        start_metrics(events, f"{folder}/metrics", f"{checkpoints}/metrics", trigger=trigger),
+        start_alerts(events, f"{folder}/alerts", f"{checkpoints}/alerts", trigger=trigger),
+        start_rejects(quake_messages, fire_messages, f"{folder}/rejects", f"{checkpoints}/rejects", trigger=trigger),
+    ]
 
 
 def await_any(spark: SparkSession) -> None:
@@ -133,31 +186,47 @@ def _own_name(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex[:8]}"
 
 
-def _drain(spark: SparkSession, name: str, start: Callable[[str, str], StreamingQuery], schema) -> DataFrame:
+def _drain(
+    spark: SparkSession, name: str, start: Callable[[str, str], StreamingQuery], schema, arrivals: Sequence[Callable[[], None]]
+) -> DataFrame:
+    """Drain what is there; then, for each arrival, let it land and start the query again from its checkpoint."""
     folder = shared_folder(spark, name)
     sinks.finish(start(f"{folder}/table", f"{folder}/checkpoint"))
-    return spark.read.schema(schema).parquet(f"{folder}/table")
+    for land in arrivals:
+        land()
+        sinks.finish(start(f"{folder}/table", f"{folder}/checkpoint"))
+    return spark.read.schema(schema).parquet(f"{folder}/table").drop("batch_id", "event_date")
 
 
-def run_metrics(events: DataFrame) -> DataFrame:
+def run_metrics(events: DataFrame, arrivals: Sequence[Callable[[], None]] = ()) -> DataFrame:
     return _drain(
         events.sparkSession, "metrics",
         lambda path, checkpoint: start_metrics(events, path, checkpoint, trigger=DRAIN, name=_own_name("metrics")),
-        metrics.window_metrics(events).schema,
+        metrics.window_metrics(events).schema, arrivals,
     )
 
 
-def run_dedupe(events: DataFrame) -> DataFrame:
+def run_dedupe(events: DataFrame, arrivals: Sequence[Callable[[], None]] = ()) -> DataFrame:
     return _drain(
         events.sparkSession, "events",
         lambda path, checkpoint: start_ingest(events, path, checkpoint, trigger=DRAIN, name=_own_name("events")),
-        events.schema,
+        events.schema, arrivals,
+    )
+
+
+def run_cells(events: DataFrame, arrivals: Sequence[Callable[[], None]] = ()) -> DataFrame:
+    return _drain(
+        events.sparkSession, "cells",
+        lambda path, checkpoint: start_ingest(events, path, checkpoint, trigger=DRAIN, name=_own_name("cells"), mode="cells"),
+        "key string, column string, timestamp bigint, cell string", arrivals,
     )
 
 
-def run_alerts(events: DataFrame, cooldown: int = params.ALERT_COOLDOWN_SECONDS) -> DataFrame:
+def run_alerts(
+    events: DataFrame, cooldown_seconds: int = params.ALERT_COOLDOWN_SECONDS, arrivals: Sequence[Callable[[], None]] = ()
+) -> DataFrame:
     return _drain(
         events.sparkSession, "alerts",
-        lambda path, checkpoint: start_alerts(events, path, checkpoint, cooldown, trigger=DRAIN, name=_own_name("alerts")),
-        "event_type string, severity string, value double, location string, alert_time timestamp_ntz, event_id string",
+        lambda path, checkpoint: start_alerts(events, path, checkpoint, cooldown_seconds, trigger=DRAIN, name=_own_name("alerts")),
+        "event_type string, severity string, value double, location string, alert_time timestamp_ntz, event_id string", arrivals,
     )

@@ -14,7 +14,7 @@ from hazardlens import params, schemas
 from hazardlens.operators import alerts, events, metrics
 from hazardlens.plans import views
 from hazardlens.sources import topic
-from hazardlens.streaming import jobs, sinks, state
+from hazardlens.streaming import jobs, sinks
 
 NOW = {"availableNow": True}
 FAR = dt.datetime(2030, 1, 1)
@@ -61,8 +61,8 @@ def test_alert_stream_equals_batch_and_survives_a_restart(spark, live, tmp_path)
     for part in (half, rest):
         land(spark, part, folder, 2)
         marked = stream_of(spark, folder, live.schema)
-        sinks.finish(jobs.start_alerts(marked, table, checkpoint, cooldown=7200, trigger=NOW))
-    assert rows(spark.read.parquet(table)) == rows(alerts.alerts(live, 7200))
+        sinks.finish(jobs.start_alerts(marked, table, checkpoint, cooldown_seconds=7200, trigger=NOW))
+    assert rows(spark.read.parquet(table).drop("batch_id")) == rows(alerts.alerts(live, 7200))
 
 
 def test_dedupe_across_batches_and_restart(spark, live, tmp_path):
@@ -73,7 +73,7 @@ def test_dedupe_across_batches_and_restart(spark, live, tmp_path):
         sinks.finish(jobs.start_ingest(stream_of(spark, folder, live.schema), table, checkpoint, trigger=NOW))
     written = spark.read.parquet(table)
     assert rows(written, "id") == rows(one_hour, "id")
-    assert "type" in written.columns and "batch_id" in written.columns
+    assert {"type", "event_date", "batch_id"} <= set(written.columns)
 
 
 def test_ingest_fills_places_per_batch(spark, tmp_path):
@@ -136,7 +136,7 @@ def test_output_modes(spark, live, tmp_path, mode, capfd):
     land(spark, live, tmp_path / "in", 1)
     stream = stream_of(spark, tmp_path / "in", live.schema)
     out = str(tmp_path / "out")
-    sinks.finish(sinks.writer(stream, mode, None if mode == "console" else out, str(tmp_path / "c"), f"mode_{mode}", NOW).start())
+    sinks.finish(sinks.writer(stream, mode, None if mode == "console" else out, str(tmp_path / "c"), f"mode_{mode}", NOW, F.col("id"), F.col("time")).start())
     if mode == "json":
         assert {json.loads(r[0])["id"] for r in spark.read.text(out).collect()} == {r[0] for r in rows(live, "id")}
     elif mode == "parquet":
@@ -144,7 +144,7 @@ def test_output_modes(spark, live, tmp_path, mode, capfd):
     elif mode == "cells":
         assert spark.read.parquet(out).select("key").distinct().count() == live.count()
     with pytest.raises(ValueError):
-        sinks.writer(stream, "hbase", out, out, "x", NOW)
+        sinks.writer(stream, "hbase", out, out, "x", NOW, F.col("id"), F.col("time"))
 
 
 def test_several_queries_in_one_session(spark, live, tmp_path):
@@ -157,14 +157,78 @@ def test_several_queries_in_one_session(spark, live, tmp_path):
     jobs.await_any(spark)
     for q in started:
         sinks.finish(q)
-    assert rows(spark.read.parquet(str(tmp_path / "a"))) == rows(alerts.alerts(live))
+    assert rows(spark.read.parquet(str(tmp_path / "a")).drop("batch_id")) == rows(alerts.alerts(live))
 
 
-def test_state_combine_keeps_the_best_row_per_second():
-    import pandas as pd
+def messages(spark, folder, *batches):
+    """One file of JSON messages per batch, in order."""
+    for batch in batches:
+        values = [(json.dumps(m), FAR) for m in batch]
+        spark.createDataFrame(values, "value string, timestamp timestamp").coalesce(1).write.mode("append").parquet(str(folder))
+    return topic.file_stream(spark, str(folder), spark.createDataFrame([], "value string, timestamp timestamp").schema, max_files=1)
 
-    pdf = pd.DataFrame({"alert_key": ["k"] * 4, "s": [1, 1, 1, 2], "value": [1.0, 3.0, 3.0, 0.5], "event_id": ["a", "c", "b", "d"]})
-    assert list(state.best_per_second(pdf)["event_id"]) == ["b", "d"]
+
+def at(clock):
+    return f"2024-01-01 {clock}:00"
+
+
+def test_a_lagging_feed_loses_nothing(spark, tmp_path):
+    quakes = messages(spark, tmp_path / "q", *[[{"id": f"q{i}", "time": at(f"12:0{i}"), "magnitude": 5}] for i in range(3)])
+    fires = messages(spark, tmp_path / "f", *[[{"id": f"f{i}", "time": at(f"09:{i}0"), "frp": 5}] for i in range(3)])
+    out = jobs.run_dedupe(jobs.event_stream(quakes, fires))
+    assert rows(out, "id") == [(f"{k}{i}",) for k in "fq" for i in range(3)]
+
+
+def test_good_and_rejected_are_what_was_sent(spark, tmp_path):
+    quakes = messages(spark, tmp_path / "q", [{"id": "a", "time": at("12:00"), "magnitude": "NaN"}, {"id": None, "time": at("12:00")}], [{"id": "b", "time": "soon"}])
+    fires = messages(spark, tmp_path / "f", [{"id": "c", "time": "2024-01-01T14:00:00+02:00", "frp": 1e25}, "text"], [{"id": "d", "time": at("12:00"), "frp": "Infinity"}])
+    started = jobs.start_all(quakes, fires, str(tmp_path / "out"), str(tmp_path / "ckpt"), trigger=NOW)
+    for q in started:
+        sinks.finish(q)
+    good = spark.read.parquet(str(tmp_path / "out" / "events"))
+    assert rows(good, "id", "magnitude", "frp") == [("a", None, None), ("c", None, 1e25), ("d", None, None)]
+    assert {r["time"].hour for r in good.collect()} == {12}
+    bad = rows(spark.read.parquet(str(tmp_path / "out" / "rejects")), "topic", "reason")
+    assert bad == [("earthquake", "no readable id"), ("earthquake", "number not finite"), ("earthquake", "time unreadable"), ("fire", "no readable id"), ("fire", "number not finite")]
+
+
+@pytest.mark.parametrize("mode", ["console", "json", "parquet", "cells"])
+@pytest.mark.parametrize("job", ["ingest", "metrics", "alerts"])
+def test_every_job_in_every_mode(spark, live, tmp_path, mode, job):
+    land(spark, live.filter("time < TIMESTAMP_NTZ'2024-01-03 00:00:00'"), tmp_path / "in", 1)
+    land(spark, sentinel(spark, live.schema), tmp_path / "in", 1)
+    marked = stream_of(spark, tmp_path / "in", live.schema)
+    start = {"ingest": jobs.start_ingest, "metrics": jobs.start_metrics, "alerts": jobs.start_alerts}[job]
+    out = None if mode == "console" else str(tmp_path / "out")
+    sinks.finish(start(marked, out, str(tmp_path / "c"), mode=mode, trigger=NOW, name=f"{job}_{mode}"))
+    if mode == "json":
+        assert spark.read.json(out).count() > 0
+    elif mode != "console":
+        assert spark.read.parquet(out).count() > 0
+
+
+def test_table_prunes_after_a_replay_and_compacts(spark, live, tmp_path):
+    write = sinks.batch_folders(str(tmp_path / "t"), by=("type", "event_date"))
+    dated = live.withColumn("event_date", F.to_date("time"))
+    for _ in range(2):
+        write(dated.filter("type = 'fire'"), 0)
+        write(dated.filter("type <> 'fire'"), 1)
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert table.count() == live.count()
+    day = table.filter("type = 'fire' AND event_date = DATE'2024-01-02'")
+    assert day.count() == live.filter("type = 'fire' AND to_date(time) = DATE'2024-01-02'").count()
+    assert all("type=fire/event_date=2024-01-02" in f for f in day.inputFiles()) or "PartitionFilters: [isnotnull(type" in day._jdf.queryExecution().toString()
+    sinks.compact(spark, str(tmp_path / "t"), str(tmp_path / "c"), ("type", "event_date"))
+    assert rows(spark.read.parquet(str(tmp_path / "c")), "id", "type") == rows(live, "id", "type")
+
+
+def test_cooldown_of_zero_and_below(spark, live, tmp_path):
+    land(spark, live, tmp_path / "in", 2)
+    out = jobs.run_alerts(stream_of(spark, tmp_path / "in", live.schema), 0)
+    assert rows(out) == rows(alerts.alerts(live, 0)) == rows(alerts.alerts(live, 1))
+    assert out.count() == alerts.alert_candidates(live).select("alert_key", F.date_trunc("second", "time")).distinct().count()
+    with pytest.raises(ValueError):
+        alerts.alerts(live, -1)
 
 
 def test_kafka_source_is_only_built_where_its_connector_is(spark):
