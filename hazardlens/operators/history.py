@@ -49,6 +49,11 @@ def correlations(disasters: DataFrame, days: int = params.CORRELATION_DAYS) -> D
     )
 
 
+def correlated_days(disasters: DataFrame, days: int = params.CORRELATION_DAYS) -> DataFrame:
+    """``correlations`` of the days on which a type struck a country, whatever the number and names of its disasters."""
+    return correlations(disasters.withColumn("event_name", F.lit("")), days)
+
+
 # Tie order of the anomaly label.
 ANOMALY_METRICS = ("magnitude", "deaths", "affected")
 

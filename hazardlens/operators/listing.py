@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -35,6 +37,21 @@ def page(df: DataFrame, order, number: int, size: int) -> DataFrame:
     )
 
 
+def page_after(df: DataFrame, by: Sequence[tuple[str, bool]], last: Mapping[str, Column], size: int) -> DataFrame:
+    """The ``size`` rows behind the row ``last`` in the order ``by`` of (column, descending), NULL last.
+
+    However deep the page, only rows behind ``last`` are ordered and each task keeps ``size`` of them; ``by`` has to
+    make the order total and ``last`` to hold a value, NULL not included, for each of its columns.
+    """
+    behind, same = F.lit(False), F.lit(True)
+    for name, descending in by:
+        here = F.col(name).isNull() | ((F.col(name) < last[name]) if descending else (F.col(name) > last[name]))
+        behind = behind | (same & here)
+        same = same & (F.col(name) == last[name])
+    order = [F.col(n).desc_nulls_last() if d else F.col(n).asc_nulls_last() for n, d in by]
+    return df.filter(behind).orderBy(*order).limit(size)
+
+
 def anomaly_list(
     anomalies: DataFrame,
     disaster_type: str = ALL,
@@ -95,7 +112,7 @@ def vulnerability_list(
 
 
 def correlation_choices(pairs: DataFrame) -> DataFrame:
-    """Distinct countries and distinct types of either side, for the filter menus.
+    """Distinct countries and distinct types of either side, for the filter menus; ``correlated_days`` is enough.
 
     Both lists come from one pass: each pair is spread to its three choices and the distinct
     combines map-side.

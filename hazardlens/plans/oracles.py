@@ -292,6 +292,8 @@ SELECT id AS rowkey, 'info' AS cf, id, type, time, latitude, longitude, place, s
         "page": f"""
 SELECT *, (SELECT count(*) FROM events3) AS total_results, CAST(11 AS BIGINT) AS from_row, least(CAST(20 AS BIGINT), (SELECT count(*) FROM events3)) AS to_row
 FROM events3 ORDER BY time DESC, id LIMIT 10 OFFSET 10""",
+        "page_after": """
+SELECT * FROM events3 WHERE time < (SELECT max(time) FROM events3) OR time = (SELECT max(time) FROM events3) AND id > '' ORDER BY time DESC, id LIMIT 10""",
         "severity_quake4": """
 SELECT id, magnitude, CASE WHEN magnitude IS NULL THEN 'Unknown' WHEN magnitude < 4 THEN 'Low' WHEN magnitude < 6 THEN 'Moderate'
   WHEN magnitude < 7 THEN 'High' ELSE 'Extreme' END AS severity FROM hazard""",

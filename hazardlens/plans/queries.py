@@ -108,7 +108,7 @@ def rowkey_struct(spark, sf):
 
 def fire_lookback(spark, sf):
     h = views.hazard(spark, sf)
-    return events.fire_lookback(views.fires_of(h), events.latest_time(views.events_of(h)))
+    return events.fire_lookback(views.fires_of(h), views.newest(spark, sf))
 
 
 def _live(spark, sf) -> DataFrame:
@@ -117,18 +117,24 @@ def _live(spark, sf) -> DataFrame:
 
 def time_range(spark, sf):
     e = _live(spark, sf)
-    return events.time_range(e, events.latest_time(e), "12h")
+    return events.time_range(e, views.newest(spark, sf), "12h")
 
 
 def event_feed(spark, sf):
     e = _live(spark, sf)
-    return events.event_feed(e, events.latest_time(e))
+    return events.event_feed(e, views.newest(spark, sf))
 
 
 def page(spark, sf):
     return listing.page(_live(spark, sf), [F.desc("time"), F.col("id")], 2, 10)
 
 
+def page_after(spark, sf):
+    """The ten rows from the newest time on: those behind a row of that time with the smallest id there could be."""
+    last = {"time": views.newest(spark, sf).scalar(), "id": F.lit("")}
+    return listing.page_after(_live(spark, sf), [("time", True), ("id", False)], last, 10)
+
+
 def _hazard_id(spark, sf, **columns: Column) -> DataFrame:
     return views.hazard(spark, sf).select("id", *[c.alias(n) for n, c in columns.items()])
 
@@ -168,12 +174,12 @@ def place_parts_legacy(spark, sf):
 
 def kpi_cards(spark, sf):
     e = _live(spark, sf)
-    return metrics.kpi_cards(e, events.latest_time(e))
+    return metrics.kpi_cards(e, views.newest(spark, sf))
 
 
 def event_trend(spark, sf):
     e = _live(spark, sf)
-    return metrics.event_trend(e, events.latest_time(e), "12h")
+    return metrics.event_trend(e, views.newest(spark, sf), "12h")
 
 
 def reverse_geocode(spark, sf):
@@ -264,6 +270,7 @@ def queries() -> dict[str, Query]:
         "event_search": lambda s, d: events.event_search(_live(s, d), "America"),
         "event_feed": event_feed,
         "page": page,
+        "page_after": page_after,
         "severity_quake4": severity_quake4,
         "severity_fire4": severity_fire4,
         "severity3": severity3,
@@ -279,7 +286,7 @@ def queries() -> dict[str, Query]:
         "alert_messages": alert_messages,
         "correlations": correlations,
         "correlation_list": correlation_list,
-        "correlation_choices": lambda s, d: listing.correlation_choices(correlations(s, d)),
+        "correlation_choices": lambda s, d: listing.correlation_choices(history.correlated_days(views.disasters(s, d))),
         "anomalies": anomalies,
         "anomaly_list": anomaly_list,
         "hotspots": hotspots,

@@ -408,3 +408,20 @@ def test_time_range_reaches_the_scan(spark, small):
     assert "GreaterThanOrEqual(ts,2024-01-29T12:00)" in fixed
     moving = events.time_range(e, events.latest_time(e), "12h")
     assert "- INTERVAL" not in plan(moving).split("DataFilters")[1].split("Format")[0]
+
+
+def test_pages_by_key_equal_pages_by_number(spark):
+    data = [(f"i{n:02d}", dt.datetime(2024, 1, 1 + n % 4) if n % 7 else None) for n in range(30)]
+    df = spark.createDataFrame(data, "id string, time timestamp_ntz")
+    by = [("time", True), ("id", False)]
+    ordered = [tuple(r) for r in df.orderBy(F.desc_nulls_last("time"), "id").collect()]
+    for at in (0, 9, 20):
+        last = {"time": F.lit(ordered[at][1]).cast("timestamp_ntz"), "id": F.lit(ordered[at][0])}
+        assert [tuple(r) for r in listing.page_after(df, by, last, 5).collect()] == ordered[at + 1 : at + 6]
+
+
+def test_cards_read_the_event_table_narrowly_for_now(spark, small):
+    from hazardlens.plans.queries import queries
+
+    p = queries()["kpi_cards"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in p
