@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hazardlens.llm import ann, decontaminate, jaccard_join, maxent, mixing, quality, secret_scan, substring_dedup, suffix_dedup, surrogates
 from hazardlens.llm.common import documents
+from hazardlens.llm.oracles import oracle_sql  # noqa: F401  the entry module takes both from here
 
 
 def op8_suffix_dedup(spark, sf):
@@ -67,7 +68,3 @@ def op10_jaccard_join(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (op1_pii_surrogates, op2_decontamination, op3_maxent_lm, op4_quality_classifier, op5_ann_hnsw, op6_secret_scan, op7_pfair_mixing, op8_suffix_dedup, op9_substring_dedup, op10_jaccard_join)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scan": secret_scan.base_sql()}
