@@ -33,9 +33,10 @@ def ids_repeat(docs: DataFrame) -> bool:
 
 
 def covered(docs: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
-    """(doc_id, mark, starts): the window starts of each row that begin in a document with a smaller doc_id as well.
+    """(doc_id, mark, starts): the windows of each row that start in a document with a smaller doc_id as well.
 
-    A written table. Rows without such windows are not listed. ``mark`` is 0, or the text's hash where doc_ids repeat.
+    A written table. A window that a row repeats is listed with its first start only, so a line that fills a text is one
+    row to group. Rows without such windows are not listed. ``mark`` is 0, or the text's hash where doc_ids repeat.
     """
     marked = ids_repeat(docs)
 
@@ -58,6 +59,9 @@ def covered(docs: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
                 at = at[known.level(h[at]) > 0]
                 if not len(at):
                     continue
+                order = np.lexsort((at, h[at], found.text[at]))
+                again = (np.diff(h[at[order]], prepend=0) == 0) & (np.diff(found.text[at[order]], prepend=-1) == 0)
+                at = at[order][~again]
                 text_of = found.text[at]
                 check = kernel.rolling(kernel.word_hashes(block, found, lower=False, seed=1), width)[at] >> kernel.U(32)
                 place = (at - found.bounds[text_of]).astype(np.uint64)
@@ -107,21 +111,26 @@ def dedup(docs: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, kept = [], []
-            for n, done, rest, starts in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4)):
-                if done.is_valid:
-                    removed.append(0)
-                    kept.append(done.as_py())
-                    continue
-                keep = np.ones(n, bool)
-                if starts.is_valid:
-                    at = starts.values.to_numpy()
-                    step = np.zeros(n + 1, np.int64)
-                    step[at] += 1
-                    np.add.at(step, at + width, -1)
-                    keep = np.cumsum(step)[:n] == 0
-                own = rest.as_py().encode().split()
-                kept.append(b" ".join([w for w, k in zip(own, keep.tolist()) if k]).decode())
-                removed.append(int(n - keep.sum()))
+            for block in kernel.blocks(batch.column(3)):
+                found, h, _ = _window_hashes(block, width)
+                for i in range(len(block)):
+                    row = block.first + i
+                    if batch.column(2)[row].is_valid:
+                        removed.append(0)
+                        kept.append(batch.column(2)[row].as_py())
+                        continue
+                    low, n = int(found.bounds[i]), int(found.bounds[i + 1] - found.bounds[i])
+                    keep, starts = np.ones(n, bool), batch.column(4)[row]
+                    if starts.is_valid:
+                        own = h[low : low + n - width + 1]
+                        at = np.flatnonzero(np.isin(own, own[starts.values.to_numpy()]))
+                        step = np.zeros(n + 1, np.int64)
+                        step[at] += 1
+                        np.add.at(step, at + width, -1)
+                        keep = np.cumsum(step)[:n] == 0
+                    own = block.data[block.edges[i] : block.edges[i + 1]].tobytes().split()
+                    kept.append(b" ".join([w for w, k in zip(own, keep.tolist()) if k]).decode())
+                    removed.append(int(n - keep.sum()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept"],
