@@ -51,6 +51,15 @@ class Sketch:
             out = here if out is None else np.minimum(out, here)
         return out
 
+    def reaching(self, hashes: np.ndarray, threshold: int = 0) -> np.ndarray:
+        """Places of the hashes whose estimated count reaches a threshold; each row looks only at what the others left."""
+        at = None
+        for row, planes in enumerate(self.planes):
+            cell = _cells(hashes if at is None else hashes[at], row, self.bits).astype(np.int64)
+            hit = np.flatnonzero((planes[threshold][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+            at = hit if at is None else at[hit]
+        return at
+
 
 def build(
     rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int,
