@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -16,7 +17,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now; it only learns of them when the driver collects its garbage."""
+    """Let Spark's cleaner drop the shuffle files of finished jobs now; it only learns of them when the driver collects
+    its garbage, in Python first, as frames there hold the plans of finished jobs."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -160,6 +160,8 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     table = classes.join(least.select(F.col("node").alias("s"), "root", "least"), "s", "left").join(linked, "s", "left").select(
         "s", F.coalesce("root", "s").alias("root"), F.coalesce("least", "rep").alias("least"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
     )
+    # as a written table it is a plain side of the join, so Spark can split the rows of a set that very many share
+    table = written(table, "set_classes")
     return rows.join(table, "s", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("links")).otherwise(F.lit(0)).alias("n_links"), "mark", F.when(F.col("n") > 0, F.col("root")).alias("class"),
