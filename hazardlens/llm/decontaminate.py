@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-A first scan counts, for the n-grams of the test items only, the documents that hold them. Of every ``STRIDE``
-consecutive n-grams of an item the rarest becomes a seed, so each stretch of an item keeps one however common the item
-is. A second scan joins seeds to documents and aligns each passage round a seed with its item, word by word, with
-gaps; edited, cut and reordered copies still score. What is broadcast is one slice of the items of at most
-``SLICE_BYTES``; larger benchmarks take several slices, each complete in itself.
+A first scan counts, for the n-grams of the test items only, the documents that hold them. A seed is every n-gram that
+occurs at all, up to ``FREQUENT`` of the documents, and of every ``STRIDE`` consecutive ones the rarest that occurs, so
+each stretch of an item keeps one however common the item is. A second scan joins seeds to documents and aligns each
+passage round a seed with its item, word by word, with gaps; edited, cut and reordered copies still score, if three
+words in a row are intact somewhere. Passages that share too few words to reach the threshold are not aligned. What is
+broadcast is one slice of the items of at most ``SLICE_BYTES``; larger benchmarks take several slices, each complete
+in itself.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from hazardlens.llm.common import written
 
 SEED_WORDS = 3
 STRIDE = 3
+FREQUENT, FEW_DOCS = 0.1, 1000  # of all documents; that many are never too many
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 SLICE_BYTES = 1 << 24
@@ -98,7 +101,7 @@ def _slices(benchmark: DataFrame) -> list[tuple[list, list[np.ndarray]]]:
 
 
 def _seeds(docs: DataFrame, items: list[np.ndarray]):
-    """Finder of the seed hashes and, for each, its (item number, place in the item); rarest of each stride."""
+    """Finder of the seed hashes and, for each, its (item number, place in the item). An n-gram in no document is no seed."""
     size = lambda w: min(SEED_WORDS, len(w))  # noqa: E731  an item of fewer words is one seed
     grams = [kernel.rolling(w, size(w)) ^ kernel.U(size(w)) for w in items]
     every = _Finder(np.concatenate(grams) if grams else np.zeros(0, np.uint64))
@@ -106,8 +109,9 @@ def _seeds(docs: DataFrame, items: list[np.ndarray]):
     shared = docs.sparkSession.sparkContext.broadcast(every)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value.keys), np.int64)
+        total, rows = np.zeros(len(shared.value.keys), np.int64), 0
         for batch in batches:
+            rows += batch.num_rows
             for block in kernel.blocks(batch.column(0)):
                 for n in sizes:
                     found, _, h, ok = _grams(block, n)
@@ -116,18 +120,21 @@ def _seeds(docs: DataFrame, items: list[np.ndarray]):
                     once = np.unique(found.text[at] * len(total) + key) % max(1, len(total))
                     total += np.bincount(once, minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["key", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], ["key", "docs"])
 
-    frequency = np.zeros(len(every.keys), np.int64)
+    frequency = np.zeros(len(every.keys) + 1, np.int64)  # the last is the number of documents
     for r in docs.select("text").mapInArrow(count, "key long, docs long").groupBy("key").agg(F.sum("docs").alias("docs")).toLocalIterator():
         frequency[r["key"]] = r["docs"]
+    most = max(FEW_DOCS, FREQUENT * frequency[-1])
     chosen: dict[int, list[tuple[int, int]]] = {}
     for i, own in enumerate(grams):
-        key = np.searchsorted(every.keys, own)
+        held = frequency[np.searchsorted(every.keys, own)]
         for at in range(0, len(own), STRIDE):
-            part = range(at, min(at + STRIDE, len(own)))
-            place = min(part, key=lambda p: (frequency[key[p]], own[p]))
-            chosen.setdefault(int(own[place]), []).append((i, place))
+            part = [p for p in range(at, min(at + STRIDE, len(own))) if held[p]]
+            rarest = min(part, key=lambda p: (held[p], own[p]), default=None)
+            for place in part:
+                if place == rarest or held[place] <= most:
+                    chosen.setdefault(int(own[place]), []).append((i, place))
     finder = _Finder(np.array(list(chosen), np.uint64))
     return finder, [chosen[int(k)] for k in finder.keys], sizes
 
@@ -179,6 +186,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
+def _shared(own: np.ndarray, words: np.ndarray) -> int:
+    """How many of ``words`` are among the sorted ``own``."""
+    return int((own[np.minimum(np.searchsorted(own, words), len(own) - 1)] == words).sum())
+
+
 def _scored(h: np.ndarray, item: np.ndarray, number: int, some: list[tuple[int, int, int]], threshold: float) -> list[tuple]:
     """(item, text, score, start, end) of each merged region; regions of one text that overlap are one."""
     merged: list[list[int]] = []
@@ -195,6 +207,9 @@ def _scored(h: np.ndarray, item: np.ndarray, number: int, some: list[tuple[int,
             if a + piece >= b:
                 break
             a += piece - 4 * len(item) - 8
+    # no alignment scores more than a match for each word of a piece that is also in the item
+    own = np.unique(item)
+    pieces = [(text, a, b) for text, a, b in pieces if MATCH * min(len(item), _shared(own, h[a:b])) >= threshold * MATCH * len(item)]
     out = []
     for at in range(0, len(pieces), 256):
         part = pieces[at : at + 256]

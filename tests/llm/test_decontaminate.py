@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,29 @@ def test_a_slice_at_a_time(spark, case, monkeypatch):
     assert sorted(map(tuple, decontaminate.leaks(docs_frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect())) == whole
 
 
+@pytest.mark.parametrize("every", [4, 5])
+def test_one_edit_in_each_stretch_and_no_verbatim_copy(spark, every):
+    r = random.Random(every)
+    item = [f"w{i}" for i in range(59)]
+    copies = [[f"x{d}" if i % every == d % every else w for i, w in enumerate(item)] for d in range(every)]
+    # other documents hold some of the intact n-grams, so these are not the rarest
+    docs = [(d, " ".join(c)) for d, c in enumerate(copies[:1])] + [(10 + i, " ".join([*r.choices(item, k=20), *item[a : a + 3]])) for i, a in enumerate(range(0, 57, 2))]
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate.leaks(docs_frame(spark, docs), b).collect()}
+    assert got == {0: smith_waterman(item, copies[0])} and got[0] >= 59
+    # a stretch of n-grams that are all too frequent keeps the rarest that occurs
+    found, places, _ = decontaminate._seeds(docs_frame(spark, docs).select("text"), decontaminate._item_words(pa.array([" ".join(item)])))
+    assert len(found.keys) == len(places) > 20
+
+
+def test_frequent_grams_leave_one_in_each_stretch(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FEW_DOCS", 1)
+    item = [f"w{i}" for i in range(20)]
+    docs = [(i, " ".join(item)) for i in range(30)] + [(90, "only w3 w4 w5 w6 here")]
+    found, places, _ = decontaminate._seeds(docs_frame(spark, docs).select("text"), decontaminate._item_words(pa.array([" ".join(item)])))
+    assert sorted({p // decontaminate.STRIDE for x in places for _, p in x}) == list(range(6)) and len(found.keys) == 6
+
+
 def test_align_is_smith_waterman():
     r = np.random.default_rng(1)
     for _ in range(200):
