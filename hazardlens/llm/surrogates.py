@@ -32,19 +32,22 @@ SCRIPTS = {
     "cyrillic": ("бвгдзклмнпрст", "аеиоу", {"m": "ан", "f": "ина", "n": "и"}, ("ов", "ин", "ко")),
     "greek": ("βγδζκλμνπρστ", "αειου", {"m": "ος", "f": "η", "n": "ι"}, ("ου", "ιδης", "ας")),
 }
+_GENDER = {t.casefold(): g for t, g in TITLES.items()}
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
+_FIRST = "".join(sorted({c for t in TITLES for c in t[0].lower() + t[0].upper()}))
 PATTERNS = (
     ("email", r"(?<![\w.%+-])[\w.%+-]++@(?:[\w-]++\.)+[^\W\d_]{2,}"),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     ("card", r"(?<![\w+])(?:\d[ -]?){12,18}\d(?!\w)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"),
-    ("phone", r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)"),
-    ("name", rf"(?<!\w)(?:{_TITLE})\.? +(?:[^\W\d_][\w'’-]*)(?: [^\W\d_][\w'’-]*){{0,2}}"),
+    ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d){4,24}(?!\w)|(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w)"),
+    ("name", rf"(?<!\w)(?=[{_FIRST}])(?i:{_TITLE})\.? +(?:[^\W\d_][\w'’-]*)(?: [^\W\d_][\w'’-]*){{0,2}}"),
 )
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 #: A text without any of this holds no entity; for Spark's filter.
-MAY_HOLD = rf"[0-9@]|(?:{_TITLE})\.? "
+MAY_HOLD = rf"[0-9@]|(?iu:{_TITLE})\.? "
+_POSSESSIVE = re.compile(r"(?:['’][sS]?|-)+$")
 
 
 @dataclass(frozen=True)
@@ -61,8 +64,12 @@ def script_of(word: str) -> str:
 
 
 def find(text: str) -> list[Mention]:
-    """Mentions of a text from left to right, none over another. A name is a mention for each of its words."""
-    out = []
+    """Mentions of a text from left to right, none over another. A name is a mention for each of its words.
+
+    Names are found after a title in any case; a title and a name both in capitals are left. What a title has made known
+    as a name is a mention wherever else it stands in the text, in the same case or capitalised.
+    """
+    out, people = [], []
     for m in _FIND.finditer(text):
         kind, value = m.lastgroup, m.group()
         if kind == "email":
@@ -72,16 +79,46 @@ def find(text: str) -> list[Mention]:
             if len(digits) >= 7 and (value[0] in "+(" or len(re.findall(r"[ .-]", value)) >= 2):
                 out.append(Mention(m.start(), m.end(), kind, ("+" if value[0] == "+" else "") + digits))
         elif kind == "name":
-            title = value.split()[0]
-            gender = TITLES[title.rstrip(".")]
+            title = re.match(rf"(?i:{_TITLE})\.?", value).group()
             words = [w for w in re.finditer(r"[^\W\d_][\w'’-]*", value[len(title) :])]
             upto = next((i for i, w in enumerate(words) if not w.group()[0].isupper()), len(words))
+            if title.isupper() and all(w.group().isupper() for w in words[:upto]):
+                continue
             for i, w in enumerate(words[:upto]):
-                a = m.start() + len(title) + w.start()
-                what = "surname" if i == upto - 1 else f"given_{gender}"
-                out.append(Mention(a, a + len(w.group()), f"{what}_{script_of(w.group())}", w.group().lower()))
+                a, name = m.start() + len(title) + w.start(), _POSSESSIVE.sub("", w.group())
+                people.append((a, name, _GENDER[title.rstrip(".").casefold()] if i < upto - 1 else "", upto > 1))
         else:
             out.append(Mention(m.start(), m.end(), kind, value if kind == "ip" else re.sub(r"[ -]", "", value)))
+    return sorted(out + _named(text, out, people), key=lambda x: x.start) if people else out
+
+
+def _named(text: str, others: list[Mention], people: list[tuple[int, str, str, bool]]) -> list[Mention]:
+    """Mentions of the words of names (place, word, gender of a given name, one of several words) and of the same words elsewhere."""
+    surnames = {name.lower() for _, name, gender, several in people if several and not gender}
+    given: dict[str, str] = {}
+    for _, name, gender, _ in people:
+        if gender and given.get(name.lower(), "n") == "n":
+            given[name.lower()] = gender
+
+    def mention(a: int, name: str, gender: str) -> Mention:
+        what = f"given_{given[name.lower()] if gender == 'n' else gender}" if gender else "surname"
+        return Mention(a, a + len(name), f"{what}_{script_of(name)}", name.lower())
+
+    def alone(name: str) -> str:
+        return "" if name.lower() in surnames else given.get(name.lower(), "")
+
+    out = [mention(a, name, gender if several else alone(name)) for a, name, gender, several in people]
+    taken = {i for m in others + out for i in range(m.start, m.end)}
+    forms = {form for _, name, _, _ in people if len(name) > 1 for form in (name, name[0] + name[1:].lower())}
+    for form in sorted(forms, key=lambda x: (-len(x), x)):
+        a = text.find(form)
+        while a >= 0:
+            b = a + len(form)
+            whole = not (a and (text[a - 1].isalnum() or text[a - 1] == "_")) and not (b < len(text) and (text[b].isalnum() or text[b] == "_"))
+            if whole and taken.isdisjoint(range(a, b)):
+                out.append(mention(a, form, alone(form)))
+                taken.update(range(a, b))
+            a = text.find(form, b)
     return out
 
 
@@ -191,6 +228,14 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
     raise ValueError("a format has too few values to keep its entities apart")
 
 
+def one_for_a_given_name(table: DataFrame) -> DataFrame:
+    """``table`` with the replacement of a given name of unknown gender taken from the one gender that it has elsewhere."""
+    script = F.substring_index("kind", "_", -1)
+    known = table.filter(F.col("kind").rlike("^given_[mf]_")).groupBy(F.concat(F.lit("given_n_"), script).alias("kind"), "norm")
+    known = known.agg(F.count("*").alias("genders"), F.first("replacement").alias("own")).filter("genders = 1").drop("genders")
+    return table.join(known, ["kind", "norm"], "left").select("kind", "norm", F.coalesce("own", "replacement").alias("replacement"))
+
+
 def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """The rows of ``docs`` with each entity of ``text`` replaced, all other columns as they are, and n_entities.
 
@@ -200,7 +245,7 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     names, columns = docs.columns, [F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns]
     may = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
     found = entities(docs)
-    pairs = found.join(assign(found, key), ["kind", "norm"])
+    pairs = found.join(one_for_a_given_name(assign(found, key)), ["kind", "norm"])
     lists = pairs.groupBy(F.col("th").alias("of")).agg(F.collect_list(F.struct("kind", "norm", "replacement")).alias("swaps"))
     place = names.index("text")
 

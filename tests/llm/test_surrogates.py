@@ -62,6 +62,34 @@ def test_names_refer_alike(out):
     assert text(out, 25) == t
 
 
+def test_names_found_once_are_replaced_everywhere_in_the_text(spark):
+    rows = [
+        (1, "Mr. John Smith called. Smith said John's car, Smith’s own; mail John.Smith@x.org. Smithson, blacksmith and smith stay"),
+        (2, "mr John Smith and MRS. Anna Lee; Dr Anna came, Anna Lee too"), (3, "Dr Anna Stone wrote"), (4, "Mrs. Ann-Marie Lee's: Ann-Marie, Ann and Lee"),
+        (5, "г-жа Анна Иванова. Иванова и Анна; Г-ЖА Иванова"), (6, "Dr PAUL KING came; King and KING"),
+    ]
+    out = {r["doc_id"]: r for r in surrogates.replace(docs_frame(spark, rows), KEY).collect()}
+    t = {d: r["text"] for d, r in out.items()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) called\. (\w+) said (\w+)'s car, (\w+)’s own; mail \S+@\S+\.org\. Smithson, blacksmith and smith stay", t[1])
+    assert m and m[1] == m[4] != "John" and m[2] == m[3] == m[5] != "Smith" and out[1]["n_entities"] == 6
+    n = re.fullmatch(r"mr (\w+) (\w+) and MRS\. (\w+) (\w+); Dr (\w+) came, (\w+) (\w+) too", t[2])
+    assert n and (n[1], n[2]) == (m[1], m[2]) and n[3] == n[5] == n[6] and n[4] == n[7] and n[3].endswith("a")
+    assert re.fullmatch(rf"Dr {n[3]} \w+ wrote", t[3])
+    assert re.fullmatch(rf"Mrs\. (\S+) {n[4]}'s: \1, Ann and {n[4]}", t[4])
+    o = re.fullmatch(r"г-жа (\w+) (\w+)\. (\w+) и (\w+); Г-ЖА (\w+)", t[5])
+    assert o and o[1] == o[4] and o[2] == o[3] == o[5] and "Анна" not in t[5]
+    p = re.fullmatch(r"Dr ([A-Z]+) ([A-Z]+) came; (\w+) and ([A-Z]+)", t[6])
+    assert p and p[2] == p[3].upper() == p[4] != "KING"
+
+
+@pytest.mark.parametrize("number", ["+15551234567", "+1 5551234567", "+1-555-1234567", "+49 30 1234 5678901", "+44 (20) 79460958"])
+def test_a_number_after_a_plus_needs_no_separators(number):
+    for text in (f"call {number}.", f"({number})", number):
+        (m,) = surrogates.find(text)
+        assert (m.kind, m.norm, text[m.start : m.end]) == ("phone", "+" + re.sub(r"\D", "", number), number)
+    assert not surrogates.find("a+15551234567 or +123456 or 1+1")
+
+
 def test_draws_again_until_distinct(spark, monkeypatch):
     real = surrogates.surrogate
     names = [f"a{i}@x.org" for i in range(30)] + ["taken@x.org"]
