@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from hazardlens.llm.common import written
 
 MOST_DRAWS = 64
+#: After so many draws a replacement may leave its format: one character more each time, an address in a wider range.
+WIDER = 8
 # Titles and the gender they tell.
 TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Lady": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f",
@@ -149,29 +151,33 @@ class _Draws:
 
 
 def surrogate(key: bytes, kind: str, norm: str, draw: int) -> str:
-    """The draw-th replacement of an entity's normal form, itself in normal form."""
-    d = _Draws(key, kind, norm, str(draw))
+    """The draw-th replacement of an entity's normal form, itself in normal form; wider than it if many draws were taken."""
+    d, more = _Draws(key, kind, norm, str(draw)), draw // WIDER
     if kind == "email":
         local, domain = norm.rsplit("@", 1)
         labels, top = domain.rsplit(".", 1)
-        return f"{d.like(local)}@{_Draws(key, 'domain', domain).like(labels)}.{top}"
+        return f"{d.like(local + 'a' * more)}@{_Draws(key, 'domain', domain).like(labels)}.{top}"
     if kind == "ip":
         own = norm.split(".")
         kept = 1 if own[0] == "10" else 2 if own[:2] == ["192", "168"] else 0
+        if kept == 2 and more:  # still private, but of 254 times as many
+            own, kept = ["10", *own[1:]], 1
+        if more > 2:
+            kept = 0
         return ".".join([*own[:kept], *[str(1 + d.below(254)) for _ in own[kept:]]])
     if kind == "card":
-        body = norm[0] + "".join(str(d.below(10)) for _ in norm[2:])
+        body = norm[0] + "".join(str(d.below(10)) for _ in norm[2:] + "0" * more)
         check = next(str(c) for c in range(10) if luhn(f"{body}{c}") % 10 == 0)
         return body + (check if luhn(norm) % 10 == 0 else str((int(check) + 1 + d.below(9)) % 10))
     if kind == "iban":
-        body = d.like(norm[4:])
+        body = d.like(norm[4:] + "0" * more)
         check = 98 - int("".join(str(int(c, 36)) for c in body + norm[:2] + "00")) % 97
         return f"{norm[:2]}{check:02d}{body}"
     if kind == "ssn":
-        return f"{1 + d.below(665):03d}{1 + d.below(99):02d}{1 + d.below(9999):04d}"
+        return f"{1 + d.below(665):03d}{1 + d.below(99):02d}{1 + d.below(9999):04d}" + d.like("0" * more)
     if kind == "phone":
         kept = 0 if norm[0] != "+" else 2 if norm[1] in "17" else 3
-        rest = [str(d.below(10)) for _ in norm[kept:]]
+        rest = [str(d.below(10)) for _ in norm[kept:] + "0" * more]
         return norm[:kept] + str(2 + d.below(8)) + "".join(rest[1:])
     what, *_, script = kind.split("_")
     consonants, vowels, endings, families = SCRIPTS[script]

@@ -104,6 +104,22 @@ def test_draws_again_until_distinct(spark, monkeypatch):
     assert len({r["replacement"] for r in table}) == len(names) and not {r["replacement"] for r in table} & set(names)
 
 
+def test_a_format_with_too_few_values_is_widened(spark):
+    names = [f"{c}@x.org" for c in "äöüéèñø"]  # five vowels stand for such a letter
+    found = spark.createDataFrame([(1, "email", n) for n in names], "th long, kind string, norm string")
+    table = surrogates.assign(found, KEY).collect()
+    assert sorted(r["norm"] for r in table) == sorted(names) and len({r["replacement"] for r in table}) == len(names)
+
+
+@pytest.mark.parametrize("kind,norm", [("ip", "192.168.0.7"), ("ip", "10.0.0.7"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("ssn", "123456789"), ("phone", "5551234567"), ("phone", "+15551234567"), ("email", "a@x.org")])
+def test_wider_replacements_are_of_the_same_kind(kind, norm):
+    first, late = surrogates.surrogate(KEY, kind, norm, 0), surrogates.surrogate(KEY, kind, norm, 3 * surrogates.WIDER)
+    surface = norm if kind in ("ip", "email") else f"{norm[:4]} {norm[4:]}"
+    assert "".join(c for c in surrogates.dressed(surface, kind, late) if c != " ") == late
+    assert len(first) == len(norm) or kind == "ip"
+    assert len(late) == len(norm) + 3 if kind != "ip" else not late.startswith("192.168.") and late.count(".") == 3
+
+
 def test_other_key_other_surrogates():
     assert surrogates.surrogate(b"a", "email", "x.y@z.org", 0) != surrogates.surrogate(b"b", "email", "x.y@z.org", 0)
 
