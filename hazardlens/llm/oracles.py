@@ -40,7 +40,17 @@ SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(k,
 FROM t LEFT JOIN per USING (doc_id)"""
 
 
+URLS = r"""
+WITH rules(r_host, r_path, r_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+rest AS (SELECT page_id, row_number() OVER () AS n, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+a AS (SELECT page_id, n, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fit AS (SELECT n, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(r_verdict, length(r_host || r_path)) AS verdict
+  FROM a JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM a LEFT JOIN fit USING (n)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_secret_scan": secret_scan.base_sql(), "op8_suffix_dedup": SUFFIX, "op9_substring_dedup": SUBSTRING, "op10_jaccard_join": JACCARD,
+        "op11_url_filter": URLS,
     }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlens.llm import ann, decontaminate, jaccard_join, maxent, mixing, quality, secret_scan, substring_dedup, suffix_dedup, surrogates
+from hazardlens.llm import ann, conversations, decontaminate, jaccard_join, maxent, mixing, quality, secret_scan, substring_dedup, suffix_dedup, surrogates
+from hazardlens.llm import token_align, url_filter
 from hazardlens.llm.common import documents
 from hazardlens.llm.oracles import oracle_sql  # noqa: F401  the entry module takes both from here
 
@@ -66,5 +67,27 @@ def op10_jaccard_join(spark, sf):
     return jaccard_join.link(documents(spark, sf), width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+# The rules that pages are judged by.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op11_url_filter(spark, sf):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(spark.read.parquet(f"{sf}/pages.parquet"), rules).select("page_id", *url_filter.RESULTS)
+
+
+def op12_conversation_repair(spark, sf):
+    return conversations.repair(conversations.damaged(spark.read.parquet(f"{sf}/conversations.parquet")))
+
+
+def op13_token_align(spark, sf):
+    out = token_align.align(documents(spark, sf), token_align.tokenizer_files(TOKENIZERS))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_pii_surrogates, op2_decontamination, op3_maxent_lm, op4_quality_classifier, op5_ann_hnsw, op6_secret_scan, op7_pfair_mixing, op8_suffix_dedup, op9_substring_dedup, op10_jaccard_join)}
+    return {q.__name__: q for q in (op1_pii_surrogates, op2_decontamination, op3_maxent_lm, op4_quality_classifier, op5_ann_hnsw, op6_secret_scan, op7_pfair_mixing, op8_suffix_dedup, op9_substring_dedup, op10_jaccard_join, op11_url_filter, op12_conversation_repair, op13_token_align)}

@@ -9,7 +9,8 @@ from hazardlens.llm.queries import oracle_sql, queries
 @pytest.mark.parametrize("name", list(oracle_sql()))
 def test_query_equals_sql(spark, small, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     ours = queries()[name](spark, small)
     theirs = con.execute(oracle_sql()[name])
     names = [d[0] for d in theirs.description]
