@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens import params
@@ -15,8 +15,12 @@ from hazardlens.operators.events import event_value
 ALERT_COLUMNS = ["event_type", "severity", "value", "location", "alert_time", "event_id"]
 
 
-def alert_candidates(events: DataFrame, limits=None) -> DataFrame:
-    """Events whose value reaches the limit of their type and severity.
+def location_text() -> Column:
+    return F.concat_ws(", ", F.coalesce("city", F.lit("Unknown")), F.coalesce("country", F.lit("Unknown")))
+
+
+def alert_candidates(events: DataFrame, limits=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Events whose value reaches the limit of their type and severity; other columns of theirs can be kept.
 
     The limits are a parameter table of a few entries and become a CASE expression, so the
     lookup needs neither a join nor a broadcast.
@@ -24,17 +28,17 @@ def alert_candidates(events: DataFrame, limits=None) -> DataFrame:
     named = evaluate_once(
         events.filter(event_value().isNotNull()),
         "severity", event_value().alias("value"),
-        beside=["id", "type", "city", "country", "time"],
+        beside=[*dict.fromkeys(["id", "type", "city", "country", "time", *keep])],
     )
     limit = alert_limit(F.col("type"), F.col("severity"), limits)
-    known_city, known_country = F.coalesce("city", F.lit("Unknown")), F.coalesce("country", F.lit("Unknown"))
     return named.filter(F.col("value") >= limit).select(
         F.concat_ws("_", "type", "severity").alias("alert_key"),
         F.col("id").alias("event_id"),
         F.col("type").alias("event_type"),
         "severity", "value", limit.alias("alert_limit"),
-        F.concat_ws(", ", known_city, known_country).alias("location"),
+        location_text().alias("location"),
         "time",
+        *keep,
     )
 
 

@@ -384,4 +384,15 @@ SELECT count(*) AS total_countries, floor(CAST(sum(CAST(vulnerability_index AS D
         "vulnerability_list": "SELECT * FROM countries WHERE contains(lower(country), 'nation_1')",
     }
     plain["stream_cells"] = plain["event_cells"]
+    plain["ingest_geojson_split"] = plain["ingest_geojson"]
+    plain["incremental_load"] = f"""
+SELECT *, max(last_modified) OVER (PARTITION BY load_id) AS mark, count(*) OVER (PARTITION BY load_id) AS row_count FROM (
+SELECT id, CASE WHEN last_modified < TIMESTAMP '2024-01-26 00:00:00' THEN 'a' WHEN last_modified < TIMESTAMP '2024-02-12 00:00:00' THEN 'b' ELSE 'c' END AS load_id,
+  last_modified, event_name, type, location, url FROM {_EONET})"""
+    plain["stream_alerts_ordered"] = _cooldown(f"SELECT * FROM alerts WHERE alert_time + INTERVAL 1 SECOND <= {as_of4} - INTERVAL 2 HOUR", 3600)
+    known = "CASE WHEN k % 17 <> 0 THEN {} ELSE '{}' END"
+    plain["stream_publish"] = f"""
+SELECT id AS key, concat('{{"id":"', id, '","time":"', strftime(time, '%Y-%m-%d %H:%M:%S'), '","place":"', {known.format("place", "Unknown location")},
+  '","url":"https://example.com/quake/', id, '","city":"', {known.format("city", "Unknown")}, '","country":"', {known.format("country", "Unknown")}, '"}}') AS value
+FROM quakes"""
     return {name: text if text.startswith("WITH ") else _with(text.strip()) for name, text in plain.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from hazardlens import params, schemas
 from hazardlens.functions import grading, places
 from hazardlens.operators import alerts, cells, events, geo, history, listing, metrics
 from hazardlens.plans import views
-from hazardlens.sources import feeds, topic
-from hazardlens.streaming import jobs
+from hazardlens.sources import feeds, ledger, topic
+from hazardlens.sources.tables import shared_folder
+from hazardlens.streaming import jobs, ordered, publish
 
 ANOMALY_Z = {"magnitude": 3.0, "deaths": 2.0, "affected": 3.0}
 GEOCODE_RADIUS_KM = 2000.0
@@ -41,6 +43,14 @@ def ingest_geojson(spark, sf):
     return feeds.quake_rows(feeds.decode_payload(payloads, schemas.GEOJSON))
 
 
+def ingest_geojson_split(spark, sf):
+    """The same rows from files of one large collection a day."""
+    folder = shared_folder(spark, "collections")
+    payloads = views.geojson_payloads(views.hazard(spark, sf), F.to_date("time").alias("day"))
+    views.collection_files(payloads, "features", folder)
+    return feeds.quake_rows(feeds.read_geojson_split(spark, folder))
+
+
 def ingest_fire_csv(spark, sf):
     return feeds.fire_rows(views.fire_csv_rows(views.hazard(spark, sf)))
 
@@ -64,6 +74,34 @@ def high_water_mark(spark, sf):
     return feeds.high_water_mark(ingest_eonet(spark, sf))
 
 
+class _Interrupted(Exception):
+    pass
+
+
+def incremental_load(spark, sf):
+    """Three landings, three loads: the second is asked for twice, the third first ends before its ledger row."""
+    folder = shared_folder(spark, "loads")
+    arrivals = views.natural_event_arrivals(views.hazard(spark, sf))
+
+    def decoded(landed: DataFrame) -> DataFrame:
+        return feeds.natural_event_rows(feeds.decode_payload(landed, schemas.NATURAL_EVENTS))
+
+    def interrupt() -> None:
+        raise _Interrupted
+
+    table = ledger.LoadTable(spark, folder, decoded(arrivals).schema)
+    for name in views.ARRIVALS:
+        arrivals.filter(F.col("arrived") == name).write.mode("append").partitionBy("arrived").parquet(f"{folder}/landed")
+        landed = spark.read.schema("value string, arrived string").parquet(f"{folder}/landed")
+        if name == "c":
+            with suppress(_Interrupted):
+                table.load(name, landed, decoded, interrupt)
+        for _ in range(2 if name == "b" else 1):
+            table.load(name, landed, decoded)
+    rows = table.rows().select("id", "load_id", "last_modified", "event_name", "type", "location", "url")
+    return rows.join(table.ledger().select("load_id", "mark", "row_count"), "load_id")
+
+
 def _plain_events(spark, sf) -> DataFrame:
     return _plain(views.events(spark, sf))
 
@@ -252,12 +290,14 @@ def queries() -> dict[str, Query]:
         "event_bounds": lambda s, d: metrics.event_bounds(_live(s, d)),
         "decode_events": decode_events,
         "ingest_geojson": ingest_geojson,
+        "ingest_geojson_split": ingest_geojson_split,
         "ingest_fire_csv": ingest_fire_csv,
         "ingest_eonet": ingest_eonet,
         "rejects": rejects,
         "message_rejects": message_rejects,
         "new_events_only": new_events_only,
         "high_water_mark": high_water_mark,
+        "incremental_load": incremental_load,
         "publish_json": publish_json,
         "event_cells": event_cells,
         "latest_cells": latest_cells,
@@ -297,14 +337,16 @@ def queries() -> dict[str, Query]:
         "stream_metrics": stream_metrics,
         "stream_dedupe": stream_dedupe,
         "stream_alerts": stream_alerts,
+        "stream_alerts_ordered": stream_alerts_ordered,
         "stream_cells": stream_cells,
+        "stream_publish": stream_publish,
     }
     return {name: _registered(query) for name, query in plain.items()}
 
 
-def _arriving(spark, sf):
+def _arriving(spark, sf, mixed: bool = False):
     """Hazard rows of events that arrive in several stretches; the jobs start anew for each."""
-    stream, arrivals = views.events_stream(spark, sf)
+    stream, arrivals = views.events_stream(spark, sf, mixed=mixed)
     return views.events_of(views.hazard_of(stream, views.table(spark, sf, "nation"))), arrivals
 
 
@@ -323,6 +365,20 @@ def stream_alerts(spark, sf):
     return jobs.run_alerts(jobs.watermarked(rows), QUERY_COOLDOWN, arrivals)
 
 
+def stream_alerts_ordered(spark, sf):
+    """Events that arrive out of order within the watermark, the job starting anew for each arrival."""
+    rows, arrivals = _arriving(spark, sf, mixed=True)
+    return ordered.run_ordered_alerts(jobs.watermarked(rows), QUERY_COOLDOWN, arrivals)
+
+
 def stream_cells(spark, sf):
     rows, arrivals = _arriving(spark, sf)
     return jobs.run_cells(jobs.watermarked(_plain(rows)), arrivals)
+
+
+def stream_publish(spark, sf):
+    """Polls of the earthquake feed that land in three arrivals, the job starting anew for each; every event is sent once."""
+    folder, arrivals = views.payload_arrivals(spark, sf)
+    events = publish.quake_events(publish.payload_stream(spark, folder, one_per_line=True))
+    shown = events.withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
+    return publish.run_publish(shown, ("id", "time", "place", "url", "city", "country"), arrivals)

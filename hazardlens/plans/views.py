@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
@@ -42,23 +42,30 @@ def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.agg(F.max("ts").alias("as_of"))
 
 
-def events_stream(spark: SparkSession, sf_dir: str, parts: int = 3) -> tuple[DataFrame, list[Callable[[], None]]]:
+def events_stream(
+    spark: SparkSession, sf_dir: str, parts: int = 3, mixed: bool = False
+) -> tuple[DataFrame, list[Callable[[], None]]]:
     """The event table as files that arrive in the order of their times, and the arrivals that are still to come.
 
     Each arrival lands the next stretch of time in a folder under the shared one; the first has landed. Event time has
-    the timestamp type that watermarks need; events without one are in the first stretch.
+    the timestamp type that watermarks need; events without one are in the first stretch. With ``mixed`` every fifth event
+    of the hour before a cut lands with the stretch behind it.
     """
     events = table(spark, sf_dir, "events")
     folder = shared_folder(spark, "arriving")
-    low, high = events.agg(F.min("ts"), F.max("ts")).first()
-    cuts = [] if low is None else [low + (high - low) * i / parts for i in range(1, parts)]
+    cuts = _cuts(events, parts)
+
+    def before(i: int) -> Column:
+        cut = F.lit(cuts[i]).cast("timestamp_ntz")
+        held = (F.col("ts") >= cut - F.make_dt_interval(hours=F.lit(1))) & (F.col("event_id") % 5 == 0)
+        return (F.col("ts") < cut) & ~held if mixed else F.col("ts") < cut
 
     def land(i: int) -> None:
         own = F.lit(True)
         if i:
-            own = own & (F.col("ts") >= F.lit(cuts[i - 1]).cast("timestamp_ntz"))
+            own = own & ~before(i - 1)
         if i < len(cuts):
-            own = own & (F.col("ts") < F.lit(cuts[i]).cast("timestamp_ntz"))
+            own = own & before(i)
         (events.filter(own) if i else events.filter(own | F.col("ts").isNull())).write.mode("append").parquet(folder)
 
     land(0)
@@ -66,6 +73,28 @@ def events_stream(spark: SparkSession, sf_dir: str, parts: int = 3) -> tuple[Dat
     return stream, [partial(land, i) for i in range(1, len(cuts) + 1)]
 
 
+def _cuts(events: DataFrame, parts: int) -> list:
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    return [] if low is None else [low + (high - low) * i / parts for i in range(1, parts)]
+
+
+def payload_arrivals(spark: SparkSession, sf_dir: str, parts: int = 3) -> tuple[str, list[Callable[[], None]]]:
+    """A folder of earthquake documents, a line each, and the arrivals that are still to come; each brings the next stretch of
+    time and the one before it again. The first has landed."""
+    events, folder = table(spark, sf_dir, "events"), shared_folder(spark, "payloads")
+    cuts = _cuts(events, parts)
+    stretch = F.lit(0)
+    for cut in cuts:
+        stretch = stretch + F.coalesce(F.col("ts") >= F.lit(cut).cast("timestamp_ntz"), F.lit(False)).cast("int")
+
+    def land(i: int) -> None:
+        own = events.filter(stretch.between(i - 1, i))
+        geojson_payloads(hazard_of(own, table(spark, sf_dir, "nation"))).write.mode("append").text(folder)
+
+    land(0)
+    return folder, [partial(land, i) for i in range(1, len(cuts) + 1)]
+
+
 def hazard_of(events: DataFrame, nation: DataFrame) -> DataFrame:
     kind, value = F.col("event_type"), F.col("value")
     disaster = F.lit("volcanic_activity")
@@ -180,7 +209,7 @@ def _doubled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), _copies())))
 
 
-def geojson_payloads(h: DataFrame) -> DataFrame:
+def geojson_payloads(h: DataFrame, *keep: Column) -> DataFrame:
     """One feature collection per earthquake; magnitude and place are missing now and then."""
     k = F.col("k")
     props = F.struct(
@@ -193,7 +222,20 @@ def geojson_payloads(h: DataFrame) -> DataFrame:
     geometry = F.struct(F.array("longitude", "latitude", F.lit(10.0)).alias("coordinates"))
     feature = F.struct("id", props.alias("properties"), geometry.alias("geometry"))
     features = F.array_repeat(feature, _copies()).alias("features")
-    return h.filter(F.col("event_type") == "error").select(F.to_json(F.struct(features)).alias("value"))
+    return h.filter(F.col("event_type") == "error").select(F.to_json(F.struct(features)).alias("value"), *keep)
+
+
+def collection_files(documents: DataFrame, member: str, folder: str) -> None:
+    """Feed documents of one day each, as files: the objects of the documents (value, day) end to end in one array, behind
+    and before what other keys hold."""
+    body = documents.select("day", F.explode(F.from_json(F.get_json_object("value", f"$.{member}"), "array<string>")).alias("value"))
+    n = F.row_number().over(Window.partitionBy("day").orderBy("value"))
+    lines = body.select("day", n.alias("n"), F.concat(F.when(n > 1, ",").otherwise(""), "value").alias("value"))
+    days = documents.select("day").distinct()
+    head = F.lit('{"type":"FeatureCollection","metadata":{"note":"a { or \\"[ here","ids":[{"id":"x"}]},"' + member + '":[')
+    foot = F.lit('],"others":[{"id":"y"}],"bbox":[-180,-90,180,90]}')
+    every = lines.union(days.select("day", F.lit(0), head)).union(days.select("day", F.lit(2**31 - 1), foot))
+    every.repartition("day").sortWithinPartitions("day", "n").select("day", "value").write.partitionBy("day").text(folder)
 
 
 FIRE_CSV_HEADER = "latitude string, longitude string, bright_ti4 string, acq_date string, acq_time string, frp string, daynight string"
@@ -218,7 +260,7 @@ def fire_csv_rows(h: DataFrame) -> DataFrame:
     return fire_csv_lines(h).select(F.inline(F.array(F.from_csv("value", FIRE_CSV_HEADER))))
 
 
-def natural_event_payloads(h: DataFrame) -> DataFrame:
+def natural_event_payloads(h: DataFrame, *keep: Column) -> DataFrame:
     """One natural-event document per hazard row: a first point, then a last point or polygon."""
     def day(days):
         return F.date_format(F.col("time") + F.make_dt_interval(days=days), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -244,7 +286,18 @@ def natural_event_payloads(h: DataFrame) -> DataFrame:
         F.lit("}"),
     )
     documents = F.array_join(F.array_repeat(body, _copies()), ",")
-    return h.select(F.concat(F.lit('{"events":['), documents, F.lit("]}")).alias("value"))
+    return h.select(F.concat(F.lit('{"events":['), documents, F.lit("]}")).alias("value"), *keep)
+
+
+ARRIVALS = ("a", "b", "c")
+
+
+def natural_event_arrivals(h: DataFrame) -> DataFrame:
+    """(arrived, value): natural-event documents in three landings by their last change; each sends the one before it again."""
+    changed = F.date_trunc("second", "time").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("recovery_days"))
+    before = lambda day: (changed < F.lit(day).cast("timestamp_ntz")) & (F.col("k") % 20 != 11)
+    first = F.when(before("2024-01-26"), F.array(F.lit("a"), F.lit("b"))).when(before("2024-02-12"), F.array(F.lit("b"), F.lit("c"))).otherwise(F.array(F.lit("c")))
+    return natural_event_payloads(h.withColumn("arrived", first), F.col("arrived")).select(F.explode("arrived").alias("arrived"), "value")
 
 
 def messages(h: DataFrame, kind: str) -> DataFrame:

@@ -17,11 +17,12 @@ from hazardlens.functions import places
 from hazardlens.functions.numbers import finite, round_to
 from hazardlens.functions.rows import evaluate_once
 from hazardlens.functions.times import EPOCH, utc_from_text
+from hazardlens.sources import members
 
 
-def decode_payload(payloads: DataFrame, schema: StructType, column: str = "value") -> DataFrame:
-    """One feed document per row of text, parsed once; malformed documents give NULL fields."""
-    return payloads.select(F.inline(F.array(F.from_json(F.col(column), schema))))
+def decode_payload(payloads: DataFrame, schema: StructType, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One feed document per row of text, parsed once; malformed documents give NULL fields. Columns ``keep`` stay beside it."""
+    return payloads.select(*keep, F.inline(F.array(F.from_json(F.col(column), schema))))
 
 
 def read_geojson(spark: SparkSession, path, lines: bool = False) -> DataFrame:
@@ -34,6 +35,16 @@ def read_natural_events(spark: SparkSession, path, lines: bool = False) -> DataF
     return spark.read.schema(schemas.NATURAL_EVENTS).json(path, multiLine=not lines)
 
 
+def read_geojson_split(spark: SparkSession, path) -> DataFrame:
+    """As ``read_geojson`` for collections of any size: a file is read by as many tasks as it has splits, a feature a row."""
+    return members.as_documents(members.read_members(spark, path, "features"), schemas.GEOJSON, "features")
+
+
+def read_natural_events_split(spark: SparkSession, path) -> DataFrame:
+    """As ``read_geojson_split``, for natural-event documents."""
+    return members.as_documents(members.read_members(spark, path, "events"), schemas.NATURAL_EVENTS, "events")
+
+
 def read_fire_csv(spark: SparkSession, path) -> DataFrame:
     """Columns are matched by the header of each file and stay text; files may differ in order and in extra columns.
 
@@ -57,9 +68,9 @@ def utc_from_millis(millis: Column) -> Column:
     return F.expr(EPOCH) + span
 
 
-def quake_rows(documents: DataFrame) -> DataFrame:
-    """One row per feature with an id; coordinates come from the geometry."""
-    f = documents.select(F.explode("features").alias("f")).select("f.id", "f.properties", "f.geometry.coordinates")
+def quake_rows(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per feature with an id; coordinates come from the geometry. Columns ``keep`` of the document follow."""
+    f = documents.select(*keep, F.explode("features").alias("f")).select("f.id", "f.properties", "f.geometry.coordinates", *keep)
     place = F.col("properties.place")
     return f.filter(F.col("id").isNotNull()).select(
         "id",
@@ -75,6 +86,7 @@ def quake_rows(documents: DataFrame) -> DataFrame:
         places.city_of(place).alias("city"),
         places.country_of(place).alias("country"),
         round_to(F.coalesce(F.col("properties.mag"), F.lit(0.0)), 1).alias("shown_magnitude"),
+        *keep,
     )
 
 
@@ -124,9 +136,9 @@ def fire_rejects(raw: DataFrame) -> DataFrame:
     return fire_rows_checked(raw).filter(F.col("reason").isNotNull()).select("id", *schemas.FIRE_CSV_COLUMNS, "reason")
 
 
-def natural_event_rows(documents: DataFrame) -> DataFrame:
-    """One row per event: first and last geometry date, joined categories, last point as text."""
-    e = documents.select(F.explode("events").alias("e")).select("e.*")
+def natural_event_rows(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per event: first and last geometry date, joined categories, last point as text; columns ``keep`` follow."""
+    e = documents.select(*keep, F.explode("events").alias("e")).select("e.*", *keep)
     n = F.coalesce(F.size("geometry"), F.lit(0))
     last = F.get("geometry", F.greatest(n - 1, F.lit(0)))
     first_date = utc_from_text(F.get("geometry", F.lit(0))["date"])
@@ -147,6 +159,7 @@ def natural_event_rows(documents: DataFrame) -> DataFrame:
         last_date.alias("to_date"),
         F.lit("N/A").alias("affected_countries"),
         F.coalesce("link", F.lit("N/A")).alias("url"),
+        *keep,
     )
 
 

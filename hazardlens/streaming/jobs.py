@@ -22,6 +22,9 @@ from hazardlens.sources.tables import shared_folder
 from hazardlens.streaming import sinks
 
 DRAIN = {"availableNow": True}
+#: A batch that runs again needs the table of the batch before it, so the two must differ.
+ALERT_STATES = 3
+_PLACED = ("latitude", "longitude", "city", "country")
 
 
 def watermarked(events: DataFrame, delay: str = params.WATERMARK) -> DataFrame:
@@ -127,11 +130,13 @@ def start_metrics(
 def start_alerts(
     events: DataFrame, path: str | None, checkpoint: str, cooldown_seconds: int = params.ALERT_COOLDOWN_SECONDS,
     mode: str = "parquet", trigger: dict[str, object] | None = None, name: str = "alerts",
+    gazetteer: DataFrame | None = None, radius_km: float = 50.0,
 ) -> StreamingQuery:
     """Alerts with a cooldown per type and severity, each batch solved like a stored table.
 
-    What is carried over is one second per alert key: a table per batch beside the checkpoint. A batch starts from the
-    table of the batch before it and overwrites its own, so a replay gives the same alerts and the same table.
+    What is carried over is one second per alert key: one of ``ALERT_STATES`` small tables beside the checkpoint, which
+    batches take in turn. A batch starts from the table of the batch before it and overwrites its own, so a replay gives the
+    same alerts and the same table. With a gazetteer the alerts that fire get the places that their events lack.
     """
     if cooldown_seconds < 0:
         raise ValueError("a cooldown cannot be negative")
@@ -141,20 +146,25 @@ def start_alerts(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         schema = "alert_key string, allowed bigint"
-        before = spark.read.schema(schema).parquet(f"{states}/batch_id={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
+        state = lambda batch: f"{states}/turn={batch % ALERT_STATES}"
+        before = spark.read.schema(schema).parquet(state(batch_id - 1)) if batch_id else spark.createDataFrame([], schema)
         kept = batch.persist()
         fired = cooldown.apply(kept, cooldown_seconds, entry=before).persist()
         try:
             epoch = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', second)")
             latest = fired.select("alert_key", (epoch + max(1, cooldown_seconds)).alias("allowed")).union(before)
-            latest.groupBy("alert_key").agg(F.max("allowed").alias("allowed")).coalesce(1).write.mode("overwrite").parquet(f"{states}/batch_id={batch_id}")
-            save(fired.select("event_type", "severity", "value", "location", F.col("second").alias("alert_time"), "event_id"), batch_id)
+            latest.groupBy("alert_key").agg(F.max("allowed").alias("allowed")).coalesce(1).write.mode("overwrite").parquet(state(batch_id))
+            shown = fired
+            if gazetteer is not None:
+                shown = geo.reverse_geocode(fired, gazetteer, radius_km).withColumn("location", alerts.location_text())
+            save(shown.select("event_type", "severity", "value", "location", F.col("second").alias("alert_time"), "event_id"), batch_id)
         finally:
             fired.unpersist()
             kept.unpersist()
 
+    candidates = alerts.alert_candidates(events, keep=_PLACED if gazetteer is not None else ())
     return (
-        alerts.alert_candidates(events).writeStream.queryName(name)
+        candidates.writeStream.queryName(name)
         .trigger(**(trigger or _every(params.EVENT_TRIGGER)))
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write)
@@ -171,7 +181,7 @@ def start_all(
     return [
         start_ingest(events, f"{folder}/events", f"{checkpoints}/events", gazetteer, trigger=trigger),
         start_metrics(events, f"{folder}/metrics", f"{checkpoints}/metrics", trigger=trigger),
-        start_alerts(events, f"{folder}/alerts", f"{checkpoints}/alerts", trigger=trigger),
+        start_alerts(events, f"{folder}/alerts", f"{checkpoints}/alerts", trigger=trigger, gazetteer=gazetteer),
         start_rejects(quake_messages, fire_messages, f"{folder}/rejects", f"{checkpoints}/rejects", trigger=trigger),
     ]
 

@@ -14,7 +14,7 @@ from hazardlens import params, schemas
 from hazardlens.operators import alerts, events, metrics
 from hazardlens.plans import views
 from hazardlens.sources import topic
-from hazardlens.streaming import jobs, sinks
+from hazardlens.streaming import jobs, ordered, sinks
 
 NOW = {"availableNow": True}
 FAR = dt.datetime(2030, 1, 1)
@@ -245,3 +245,56 @@ def test_publish_round_trip(spark, live):
 
 def test_events_as_of_is_a_subquery(spark, live):
     assert events.time_range(live, events.latest_time(live), "12h").count() > 0
+
+
+def test_alert_state_does_not_grow(spark, live, tmp_path):
+    folder, table, checkpoint = tmp_path / "in", str(tmp_path / "out"), tmp_path / "ckpt"
+    sizes = []
+    for start in range(1, 7):
+        part = live.filter(f"day(time) = {start}")
+        land(spark, part, folder, 2)
+        sinks.finish(jobs.start_alerts(stream_of(spark, folder, live.schema), table, str(checkpoint), cooldown_seconds=7200, trigger=NOW))
+        sizes.append(len(list((tmp_path / "ckpt-allowed").iterdir())))
+    assert sizes[1:] == [jobs.ALERT_STATES] * 5
+    assert rows(spark.read.parquet(table).drop("batch_id")) == rows(alerts.alerts(live.filter("day(time) < 7"), 7200))
+
+
+def test_alerts_get_the_places_that_events_lack(spark, tmp_path):
+    data = [("a", "fire", dt.datetime(2024, 1, 1), 0.1, 0.1, "P", "Extreme", None, 200.0, None, "Given"), ("b", "fire", dt.datetime(2024, 1, 2), 60.0, 0.1, "P", "Extreme", None, 200.0, None, None)]
+    df = spark.createDataFrame(data, schemas.HAZARD_EVENT)
+    gaz = spark.createDataFrame([(1, 0.0, 0.0, "C", None, None, "X")], "place_id long, lat double, lon double, city string, town string, village string, country string")
+    land(spark, df, tmp_path / "in", 1)
+    stream = stream_of(spark, tmp_path / "in", df.schema)
+    sinks.finish(jobs.start_alerts(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), gazetteer=gaz, trigger=NOW))
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "event_id", "location") == [("a", "C, Given"), ("b", "Unknown, Unknown")]
+
+
+def test_ordered_alerts_of_events_in_any_order(spark, live, tmp_path):
+    """Two restarts; each file holds every third event of a stretch of 6 days in 3 parts that overlap in time by an hour."""
+    folder, table, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    days = live.filter("day(time) < 5").withColumn("n", F.floor((F.unix_micros(F.col("time").cast("timestamp")) / 3_600_000_000 + F.abs(F.hash("id")) % 60 / 60.0))).persist()
+    low, high = days.agg(F.min("n"), F.max("n")).first()
+    bounds = [low + (high + 1 - low) * i // 3 for i in range(4)]
+    state = []
+    for lo, hi in zip(bounds, bounds[1:]):
+        part = days.filter(f"n >= {lo} AND n < {hi}").orderBy(F.hash("id")).drop("n")
+        part.coalesce(1).write.mode("append").parquet(str(folder))
+        query = ordered.start_ordered_alerts(stream_of(spark, folder, live.schema), table, checkpoint, 7200, trigger=NOW)
+        sinks.finish(query)
+        state.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    last = days.agg(F.max("time")).first()[0] - dt.timedelta(hours=2)
+    due = days.filter(F.date_trunc("second", "time") + F.make_dt_interval(secs=F.lit(1)) <= F.lit(last))
+    want = alerts.alerts(due.drop("n"), 7200).withColumn("alert_time", F.col("alert_time").cast("timestamp"))
+    assert rows(spark.read.parquet(table)) == rows(want) and want.count() > 10
+    assert max(state) <= 7  # one value per alert key and none for its rows
+    with pytest.raises(ValueError):
+        ordered.ordered_alerts(stream_of(spark, folder, live.schema), -1)
+
+
+def test_ordered_alerts_in_cells_and_conf_is_restored(spark, live, tmp_path):
+    land(spark, live.filter("day(time) < 3"), tmp_path / "in", 1)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    query = ordered.start_ordered_alerts(stream_of(spark, tmp_path / "in", live.schema), str(tmp_path / "out"), str(tmp_path / "c"), mode="cells", trigger=NOW)
+    sinks.finish(query)
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
