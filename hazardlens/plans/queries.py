@@ -12,7 +12,7 @@ from hazardlens import params, schemas
 from hazardlens.functions import grading, places
 from hazardlens.operators import alerts, cells, events, geo, history, listing, metrics
 from hazardlens.plans import views
-from hazardlens.sources import feeds, ledger, topic
+from hazardlens.sources import cell_table, feeds, ledger, topic
 from hazardlens.sources.tables import shared_folder
 from hazardlens.streaming import jobs, ordered, publish
 
@@ -140,6 +140,16 @@ def latest_cells(spark, sf):
     )
 
 
+def merge_cells(spark, sf):
+    """Three merges of overlapping stretches of time, the second of them twice: the cells that are current in the end."""
+    table = cell_table.CellTable(spark, shared_folder(spark, "cells"), slots=8, buckets=4)
+    plain, names = _plain_events(spark, sf), ["type", "time", "latitude", "longitude", "place", "severity", "magnitude", "frp", "city"]
+    for name, first, end in (("a", 1, 14), ("b", 10, 22), ("b", 10, 22), ("c", 20, 32)):
+        own = plain.filter(F.dayofmonth("time").between(first, end))
+        table.merge(name, cells.event_cells(own, "country", _epoch_ms("time"), names))
+    return table.read()
+
+
 def rowkey_struct(spark, sf):
     return cells.rowkey_struct(views.events(spark, sf)).select("rowkey", "data.*")
 
@@ -301,6 +311,7 @@ def queries() -> dict[str, Query]:
         "publish_json": publish_json,
         "event_cells": event_cells,
         "latest_cells": latest_cells,
+        "merge_cells": merge_cells,
         "rowkey_struct": rowkey_struct,
         "unified_events": lambda s, d: views.united_events(views.hazard(s, d)),
         "dedupe_events": lambda s, d: events.dedupe(views.republished(views.events(s, d))),

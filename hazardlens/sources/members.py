@@ -30,10 +30,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from hazardlens.functions.rows import evaluate_once
+
 _QUOTE, _ESCAPE, _BRACE, _BRACKET = (ord(c) for c in '"\\{[')
 _STEP = np.zeros(256, np.int8)
 _STEP[[_BRACE, _BRACKET]] = 1
 _STEP[[ord("}"), ord("]")]] = -1
+_MARK = _STEP != 0
+_MARK[_QUOTE] = True
 #: Depth of a document's arrays and of what lies in them.
 _ARRAY, _MEMBER = 2, 3
 _OBJECT = "{"
@@ -61,16 +65,29 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndar
             yield int(file[lo]), int(start[lo]), data[offsets[lo] : offsets[hi]]
 
 
-def _odd_quotes(data: np.ndarray) -> np.ndarray:
-    """For each byte, whether an odd number of quotes that begin or end a string stands up to it."""
-    quotes = data == _QUOTE
-    slashes = data == _ESCAPE
-    if slashes.any():
-        at = np.flatnonzero(quotes)
-        plain = np.maximum.accumulate(np.where(slashes, -1, np.arange(len(data))))
-        run = at - 1 - np.where(at > 0, plain[at - 1], -1)
-        quotes[at[run % 2 == 1]] = False
-    return np.logical_xor.accumulate(quotes)
+class _Text:
+    """Some text of a split: its braces and brackets, and how many quotes that begin or end a string stand before each."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.raw = data, data.tobytes()
+        at = np.flatnonzero(_MARK[data])
+        quote = data[at] == _QUOTE
+        behind_slash = np.flatnonzero(quote & (at > 0) & (data[at - 1] == _ESCAPE))
+        run, open_ = np.ones(len(behind_slash), np.int64), np.arange(len(behind_slash))
+        while len(open_):  # backslashes before a quote; an odd number escapes it
+            before = at[behind_slash[open_]] - 1 - run[open_]
+            open_ = open_[(before >= 0) & (data[before] == _ESCAPE)]
+            run[open_] += 1
+        counted = quote.copy()
+        counted[behind_slash[run % 2 == 1]] = False
+        odd = np.cumsum(counted, dtype=np.int32) % 2 == 1
+        self.at, self.step, self.odd = at[~quote], _STEP[data[at[~quote]]], odd[~quote]
+        self.is_odd = bool(len(odd) and odd[-1])
+
+    def walked(self, inside: bool, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What each brace or bracket adds to the depth, and the depth behind it, for text that begins like this."""
+        step = np.where(self.odd ^ inside, 0, self.step)
+        return step, depth + np.cumsum(step, dtype=np.int64)
 
 
 def _key_before(raw: bytes, at: int) -> str:
@@ -93,16 +110,13 @@ class _Place:
     depth: int = 0
     opened: dict[int, str] = field(default_factory=dict)
 
-    def behind(self, data: np.ndarray, raw: bytes, odd: np.ndarray) -> _Place:
+    def behind(self, text: _Text) -> _Place:
         """The place behind some text."""
-        if not len(data):
-            return self
-        steps = np.where(odd ^ self.inside, 0, _STEP[data]).astype(np.int64)
-        depth = self.depth + np.cumsum(steps)
-        opens = np.flatnonzero(steps == 1)
+        step, depth = text.walked(self.inside, self.depth)
+        opens = np.flatnonzero(step == 1)
         levels, last = np.unique(depth[opens][::-1], return_index=True)
-        new = {int(d): _opened(raw, int(opens[len(opens) - 1 - i])) for d, i in zip(levels, last)}
-        return _Place(bool(odd[-1] ^ self.inside), int(depth[-1]), self.opened | new)
+        new = {int(d): _opened(text.raw, int(text.at[opens[len(opens) - 1 - i]])) for d, i in zip(levels, last)}
+        return _Place(text.is_odd ^ self.inside, int(depth[-1]) if len(depth) else self.depth, self.opened | new)
 
     def then(self, change: _Place) -> _Place:
         """The place behind a split that changes a beginning at depth 0 to ``change``."""
@@ -120,8 +134,8 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (file, start) != at:
             out += [told()] if at else []
             at, places = (file, start), [_Place(False), _Place(True)]
-        raw, odd = data.tobytes(), _odd_quotes(data)
-        places = [p.behind(data, raw, odd) for p in places]
+        text = _Text(data)
+        places = [p.behind(text) for p in places]
     out += [told()] if at else []
     if out:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -153,12 +167,11 @@ class _Split:
 
     def members(self, data: np.ndarray) -> Iterator[tuple[str, bytes]]:
         """(kind, text) of the wanted members that end in ``data``."""
-        raw, odd = data.tobytes(), _odd_quotes(data)
-        steps = np.where(odd ^ self.place.inside, 0, _STEP[data]).astype(np.int64)
-        depth = self.place.depth + np.cumsum(steps)
-        arrays = np.flatnonzero((steps == 1) & (depth == _ARRAY))
-        begins = np.flatnonzero((steps == 1) & (depth == _MEMBER))
-        ends = np.flatnonzero((steps == -1) & (depth == _MEMBER - 1))
+        text = _Text(data)
+        raw, (step, depth) = text.raw, text.walked(self.place.inside, self.place.depth)
+        arrays = text.at[(step == 1) & (depth == _ARRAY)]
+        begins = text.at[(step == 1) & (depth == _MEMBER)]
+        ends = text.at[(step == -1) & (depth == _MEMBER - 1)]
         if self._wanted():
             to = int(ends[0]) + 1 if len(ends) else len(raw)
             self.held.append(raw[:to])
@@ -174,7 +187,7 @@ class _Split:
             yield "whole", raw[lo : hi + 1]
         if len(begins) > len(ends) and own[-1]:
             self.held, self.begun = [raw[begins[-1] :]], True
-        self.place = self.place.behind(data, raw, odd)
+        self.place = self.place.behind(text)
 
     def rest(self) -> Iterator[tuple[str, bytes]]:
         """The piece of a member that goes on in the next split."""
@@ -226,7 +239,7 @@ def read_members(spark: SparkSession, path, member: str) -> DataFrame:
     """(value): each object of the array ``member`` of the documents under ``path``, as JSON text."""
     pieces = _pieces(spark, path)
     summaries = pieces.mapInArrow(_summaries, "file long, start long, outside string, inside string")
-    beginnings = _beginnings(summaries.orderBy("file", "start").toLocalIterator())
+    beginnings = _beginnings(sorted(summaries.collect()))  # one small row for each split
     parts = _listed(pieces, beginnings, member, whole=False)
     chain = Window.partitionBy("file").orderBy("start", "seq")
     numbered = parts.withColumn("n", F.count_if(F.col("kind") == "begin").over(chain))
@@ -238,4 +251,4 @@ def read_members(spark: SparkSession, path, member: str) -> DataFrame:
 def as_documents(members: DataFrame, schema: StructType, member: str) -> DataFrame:
     """Each member as a document of its own, in the shape that the row functions of the feeds take."""
     element = F.from_json("value", schema[member].dataType.elementType)
-    return members.select(F.array(element).alias(member)).filter(F.get(member, F.lit(0)).isNotNull())
+    return evaluate_once(members, F.array(element).alias(member)).filter(F.get(member, F.lit(0)).isNotNull())
