@@ -76,25 +76,33 @@ class _Grid:
         return low, high
 
 
-def nearest_places(points: DataFrame, gazetteer: DataFrame, radius_km: float) -> DataFrame:
-    """For each distinct point (lat_c, lon_c in hundredths of a degree) the nearest place within the radius.
-
-    Cells are compared before points: a place cell stays a candidate of a point cell only if its
-    least distance does not exceed the smallest greatest distance to any place cell. The number
-    of cells is bounded by the grid, so dense cells are never joined with all points around them.
-    Distance ties go to the smaller place_id.
-    """
-    grid = _Grid(radius_km)
-    lat, lon = F.col("lat_c") / F.lit(100.0), F.col("lon_c") / F.lit(100.0)
-    pts = points.select("lat_c", "lon_c", grid.fine_y(lat).alias("ey"), grid.fine_x(lon).alias("ex"))
-    plc = gazetteer.select(
+def placed_cells(gazetteer: DataFrame, grid: _Grid) -> DataFrame:
+    """The places of a gazetteer with their names and the fine cell (py, px) that each lies in."""
+    return gazetteer.select(
         "place_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
         F.coalesce("city", "town", "village", F.lit(places.UNKNOWN)).alias("city"),
         F.coalesce("country", F.lit(places.UNKNOWN)).alias("country"),
         grid.fine_y(F.col("lat")).alias("py"), grid.fine_x(F.col("lon")).alias("px"),
     )
-    place_cells = plc.groupBy("py", "px").agg(F.count("*").alias("rows"))
 
+
+def _degrees() -> tuple[Column, Column]:
+    return F.col("lat_c") / F.lit(100.0), F.col("lon_c") / F.lit(100.0)
+
+
+def point_cells(points: DataFrame, grid: _Grid) -> DataFrame:
+    """Points (lat_c, lon_c in hundredths of a degree) with their fine cell (ey, ex)."""
+    lat, lon = _degrees()
+    return points.select("lat_c", "lon_c", grid.fine_y(lat).alias("ey"), grid.fine_x(lon).alias("ex"))
+
+
+def cells_in_reach(pts: DataFrame, place_cells: DataFrame, grid: _Grid) -> DataFrame:
+    """(ey, ex, py, px): for each point cell the place cells that can hold the nearest place.
+
+    Cells are compared before points: a place cell stays a candidate of a point cell only if its
+    least distance does not exceed the smallest greatest distance to any place cell. The number
+    of cells is bounded by the grid, so dense cells are never joined with all points around them.
+    """
     around = (
         pts.select("ey", "ex").distinct()
         .withColumn("cx", F.explode(grid.coarse_columns_around(F.col("ey"), F.col("ex"))))
@@ -106,14 +114,15 @@ def nearest_places(points: DataFrame, gazetteer: DataFrame, radius_km: float) ->
     cell_pairs = (
         around.join(indexed, ["cy", "cx"])
         .select("ey", "ex", "py", "px", low.alias("low"), high.alias("high"))
-        .filter(F.col("low") <= F.lit(radius_km) + slack)
+        .filter(F.col("low") <= F.lit(grid.radius) + slack)
     )
     least = F.min("high").over(Window.partitionBy("ey", "ex"))
-    kept = cell_pairs.withColumn("least", least).filter(F.col("low") <= F.col("least") + slack).select("ey", "ex", "py", "px")
+    return cell_pairs.withColumn("least", least).filter(F.col("low") <= F.col("least") + slack).select("ey", "ex", "py", "px")
+
 
-    wanted = pts.join(kept, ["ey", "ex"]).select("lat_c", "lon_c", "py", "px")
-    met = salted_join(plc, wanted, ["py", "px"], hot_keys(place_cells, ["py", "px"]))
-    km = geometry.haversine_km(lat, lon, F.col("p_lat"), F.col("p_lon"))
+def nearest_met(met: DataFrame, radius_km: float) -> DataFrame:
+    """The nearest place of each point among the places it has met; ties go to the smaller place_id."""
+    km = geometry.haversine_km(*_degrees(), F.col("p_lat"), F.col("p_lon"))
     return (
         met.withColumn("km", round_to(km, 6))
         .filter(F.col("km") <= radius_km)
@@ -122,9 +131,20 @@ def nearest_places(points: DataFrame, gazetteer: DataFrame, radius_km: float) ->
     )
 
 
-def reverse_geocode(events: DataFrame, gazetteer: DataFrame, radius_km: float = 50.0, keep_given: bool = True) -> DataFrame:
+def nearest_places(points: DataFrame, gazetteer: DataFrame, radius_km: float) -> DataFrame:
+    """For each distinct point (lat_c, lon_c in hundredths of a degree) the nearest place within the radius."""
+    grid = _Grid(radius_km)
+    pts, plc = point_cells(points, grid), placed_cells(gazetteer, grid)
+    place_cells = plc.groupBy("py", "px").agg(F.count("*").alias("rows"))
+    wanted = pts.join(cells_in_reach(pts, place_cells, grid), ["ey", "ex"]).select("lat_c", "lon_c", "py", "px")
+    return nearest_met(salted_join(plc, wanted, ["py", "px"], hot_keys(place_cells, ["py", "px"])), radius_km)
+
+
+def reverse_geocode(events: DataFrame, gazetteer, radius_km: float = 50.0, keep_given: bool = True) -> DataFrame:
     """Add place_id, city, country and distance of the nearest place to every event.
 
+    ``gazetteer`` is a table of places, or a ``place_index.PlaceIndex``, built once for its own radius.
+
     Coordinates are rounded to 2 decimals and looked up once each; the way back to the events
     spreads a coordinate shared by very many events. Without a place in reach the texts are
     Unknown. With ``keep_given`` only missing city and country values are filled.
@@ -135,7 +155,7 @@ def reverse_geocode(events: DataFrame, gazetteer: DataFrame, radius_km: float =
     keyed = events.withColumns({"lat_c": hundredths("latitude"), "lon_c": hundredths("longitude")})
     points = keyed.groupBy("lat_c", "lon_c").agg(F.count("*").alias("rows"))
     known = points.filter(F.col("lat_c").isNotNull() & F.col("lon_c").isNotNull())
-    near = nearest_places(known, gazetteer, radius_km)
+    near = nearest_places(known, gazetteer, radius_km) if isinstance(gazetteer, DataFrame) else gazetteer.nearest(known)
     found = salted_join(keyed, near, ["lat_c", "lon_c"], hot_keys(known, ["lat_c", "lon_c"]), "left")
 
     def filled(name: str) -> Column:

@@ -384,6 +384,7 @@ SELECT count(*) AS total_countries, floor(CAST(sum(CAST(vulnerability_index AS D
         "vulnerability_list": "SELECT * FROM countries WHERE contains(lower(country), 'nation_1')",
     }
     plain["stream_cells"] = plain["event_cells"]
+    plain["reverse_geocode_indexed"] = plain["reverse_geocode"]
     plain["merge_cells"] = plain["latest_cells"]
     plain["ingest_geojson_split"] = plain["ingest_geojson"]
     plain["incremental_load"] = f"""

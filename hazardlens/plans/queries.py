@@ -12,7 +12,7 @@ from hazardlens import params, schemas
 from hazardlens.functions import grading, places
 from hazardlens.operators import alerts, cells, events, geo, history, listing, metrics
 from hazardlens.plans import views
-from hazardlens.sources import cell_table, feeds, ledger, topic
+from hazardlens.sources import cell_table, feeds, ledger, place_index, topic
 from hazardlens.sources.tables import shared_folder
 from hazardlens.streaming import jobs, ordered, publish
 
@@ -231,12 +231,23 @@ def event_trend(spark, sf):
 
 
 def reverse_geocode(spark, sf):
+    return _geocoded(spark, sf, views.gazetteer(spark, sf))
+
+
+def _geocoded(spark, sf, gazetteer) -> DataFrame:
     given = F.when(F.col("k") % 2 == 0, F.col("country"))
     h = views.hazard(spark, sf).select("id", "latitude", "longitude", given.alias("country"))
-    out = geo.reverse_geocode(h, views.gazetteer(spark, sf), GEOCODE_RADIUS_KM)
+    out = geo.reverse_geocode(h, gazetteer, GEOCODE_RADIUS_KM)
     return out.select("id", "city", "country", "place_id", "distance_km")
 
 
+def reverse_geocode_indexed(spark, sf):
+    """The same places from a gazetteer index that is built once and opened again for the lookup."""
+    folder = shared_folder(spark, "places")
+    place_index.build(views.gazetteer(spark, sf), folder, GEOCODE_RADIUS_KM, buckets=16)
+    return _geocoded(spark, sf, place_index.open_index(spark, folder))
+
+
 def resolve_ids(spark, sf):
     e = _live(spark, sf)
     return geo.resolve_ids(e, geo.merge_colocated(e).select(F.col("id").alias("wanted_id")))
@@ -329,6 +340,7 @@ def queries() -> dict[str, Query]:
         "place_parts": place_parts,
         "place_parts_legacy": place_parts_legacy,
         "reverse_geocode": reverse_geocode,
+        "reverse_geocode_indexed": reverse_geocode_indexed,
         "merge_colocated": lambda s, d: geo.merge_colocated(_live(s, d)),
         "resolve_ids": resolve_ids,
         "mercator_grid": lambda s, d: geo.mercator_grid(_live(s, d)),
