@@ -45,3 +45,33 @@ def mercator_pixel(
 def snap(value: Column, step: int) -> Column:
     """Nearest multiple of ``step`` with halves rounded up."""
     return (F.floor(value / F.lit(float(step)) + F.lit(0.5)) * F.lit(step)).cast("bigint")
+
+
+def z_order(y: Column, x: Column, bits: int = 16) -> Column:
+    """The bits of two small numbers in turn: near cells have near numbers, and a prefix is a cell of a coarser grid."""
+    out = F.lit(0).cast("bigint")
+    for i in range(bits):
+        for k, v in enumerate((x, y)):
+            bit = F.shiftright(v, i).bitwiseAND(1).cast("bigint")
+            out = out.bitwiseOR(F.shiftleft(bit, 2 * i + k))
+    return out
+
+
+def from_z_order(z: Column, bits: int = 16) -> tuple[Column, Column]:
+    """The two numbers (y, x) of a ``z_order``."""
+    out = []
+    for k in (1, 0):
+        v = F.lit(0)
+        for i in range(bits):
+            v = v.bitwiseOR(F.shiftleft(F.shiftright(z, 2 * i + k).bitwiseAND(1).cast("int"), i))
+        out.append(v)
+    return out[0], out[1]
+
+
+def mercator_tile(lat: Column, lon: Column, zoom: int) -> tuple[Column, Column]:
+    """Column and row of the Web-Mercator tile of a point; latitudes beyond the map lie in its outermost rows."""
+    n = float(2**zoom)
+    known = F.least(F.greatest(lat, F.lit(-89.0)), F.lit(89.0))
+    north = F.log(F.tan(F.lit(math.pi / 4) + F.radians(known) / 2)) / F.lit(math.pi)
+    whole = lambda v: F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(2**zoom - 1)).cast("int")
+    return whole((lon + 180.0) / 360.0 * n), whole((1.0 - north) / 2.0 * n)

@@ -257,3 +257,25 @@ def mercator_grid(
     )
     name = F.coalesce(*[F.when(F.col("rank") == i, F.lit(s)) for i, s in enumerate(levels)], F.lit(params.UNKNOWN_GRADE))
     return cells.select("cell_x", "cell_y", "event_count", name.alias("max_severity"))
+
+
+def tile_pyramid(events: DataFrame, zoom: int = 10, levels=("low", "moderate", "high")) -> DataFrame:
+    """Events and highest severity of every tile that has any, for all zooms from 0 to ``zoom``.
+
+    Events are counted once, by the tiles of the deepest zoom; these are numbered along a Z-order curve, where a prefix is the
+    tile of a higher zoom, so every other zoom is summed up from them: one scan, one shuffle of tiles, one of prefixes.
+    Events without a coordinate are in no tile.
+    """
+    rank = F.coalesce(*[F.when(F.col("severity") == s, F.lit(i)) for i, s in enumerate(levels)], F.lit(-1))
+    x, y = geometry.mercator_tile(F.col("latitude"), F.col("longitude"), zoom)
+    deepest = (
+        events.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+        .select(geometry.z_order(y, x, max(1, zoom)).alias("z"), rank.alias("rank"))
+        .groupBy("z").agg(F.count("*").alias("event_count"), F.max("rank").alias("rank"))
+    )
+    prefixes = F.array(*[F.struct(F.lit(k).alias("zoom"), F.shiftright("z", 2 * (zoom - k)).alias("prefix")) for k in range(zoom + 1)])
+    tiles = deepest.select(F.inline(prefixes), "event_count", "rank").groupBy("zoom", "prefix")
+    sums = tiles.agg(F.sum("event_count").alias("event_count"), F.max("rank").alias("rank"))
+    row, column = geometry.from_z_order(F.col("prefix"), max(1, zoom))
+    name = F.coalesce(*[F.when(F.col("rank") == i, F.lit(s)) for i, s in enumerate(levels)], F.lit(params.UNKNOWN_GRADE))
+    return sums.select("zoom", column.alias("tile_x"), row.alias("tile_y"), "event_count", name.alias("max_severity"))

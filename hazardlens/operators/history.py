@@ -58,14 +58,43 @@ def correlated_days(disasters: DataFrame, days: int = params.CORRELATION_DAYS) -
 ANOMALY_METRICS = ("magnitude", "deaths", "affected")
 
 
-def anomalies(disasters: DataFrame, z: dict[str, float] | None = None) -> DataFrame:
+def moments(disasters: DataFrame) -> DataFrame:
+    """(disaster_type, metric, n, mean, m2): number, mean and squared deviations from it of the known finite values."""
+    of = {m: finite(F.col(m).cast("double")) for m in ANOMALY_METRICS}
+    sums = disasters.groupBy("disaster_type").agg(
+        *[F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2")).alias(m) for m, v in of.items()]
+    )
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), f"{m}.n", f"{m}.mean", f"{m}.m2") for m in ANOMALY_METRICS])
+    return sums.select("disaster_type", F.inline(each)).filter("n > 0")
+
+
+def merge_moments(parts: DataFrame) -> DataFrame:
+    """Moments of all rows from those of parts of them, such as loads, in any order and grouping."""
+    keys = ["disaster_type", "metric"]
+    whole = parts.groupBy(*keys).agg(F.sum("n").alias("all"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("center"))
+    off = F.col("mean") - F.col("center")
+    m2 = F.sum(F.col("m2") + F.col("n") * off * off).alias("m2")
+    return parts.join(whole, keys).groupBy(*keys).agg(F.max("all").alias("n"), F.max("center").alias("mean"), m2)
+
+
+def statistics(moments: DataFrame) -> DataFrame:
+    """Average and sample deviation of each metric as ``anomalies`` takes them, one row per disaster type."""
+    own = lambda m, value: F.max(F.when(F.col("metric") == m, value))
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    return moments.groupBy("disaster_type").agg(
+        *[own(m, F.col("mean")).alias(f"{m}_avg") for m in ANOMALY_METRICS], *[own(m, std).alias(f"{m}_std") for m in ANOMALY_METRICS]
+    )
+
+
+def anomalies(disasters: DataFrame, z: dict[str, float] | None = None, known: DataFrame | None = None) -> DataFrame:
     """Disasters that exceed avg + z * stddev of their type in at least one metric.
 
     A missing metric never fires; the label names the metric with the largest z-score. The
-    statistics have one row per disaster type; how they are joined is left to Spark's size estimates.
+    statistics have one row per disaster type; how they are joined is left to Spark's size estimates. With ``known``
+    statistics, kept from load to load, the disasters are not scanned for them.
     """
     limits = {m: 3.0 for m in ANOMALY_METRICS} | (z or {})
-    stats = disasters.groupBy("disaster_type").agg(
+    stats = known if known is not None else disasters.groupBy("disaster_type").agg(
         *[F.avg(finite(F.col(m).cast("double"))).alias(f"{m}_avg") for m in ANOMALY_METRICS],
         *[F.stddev_samp(finite(F.col(m).cast("double"))).alias(f"{m}_std") for m in ANOMALY_METRICS],
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardlens import params
-from hazardlens.functions.numbers import exact_avg, exact_sum, round_to
+from hazardlens.functions.numbers import avg_of, prepared, round_to, sum_of
 from hazardlens.operators.events import event_value, moment
 
 
@@ -15,12 +15,12 @@ def window_metrics(events: DataFrame, window: str = params.METRIC_WINDOW) -> Dat
 
     Used as it is on batch and on watermarked streaming input.
     """
-    narrow = events.select("time", "type", "severity", event_value().alias("value"))
+    narrow = prepared(events.select("time", "type", "severity", event_value().alias("value")), ["time", "type", "severity", "value"], v=F.col("value"))
     return (
         narrow.groupBy(F.window("time", window).alias("w"), "type", "severity")
         .agg(
             F.count("*").alias("event_count"),
-            exact_avg(F.col("value")).alias("avg_value"),
+            avg_of("v").alias("avg_value"),
             F.max("value").alias("max_value"),
         )
         .select(
@@ -45,12 +45,13 @@ def kpi_cards(events: DataFrame, as_of) -> DataFrame:
     """One row of totals; a missing value counts as 0 in the averages, no rows give 0.0."""
     quake, fire = F.col("type") == "earthquake", F.col("type") == "fire"
     recent = F.col("time") > moment(as_of, 3600)
-    sums = events.agg(
+    magnitude, power = F.when(quake, F.coalesce("magnitude", F.lit(0.0))), F.when(fire, F.coalesce("frp", F.lit(0.0)))
+    sums = prepared(events, ["type", "time", "severity"], magnitude=magnitude, power=power).agg(
         F.count("*").alias("total_events"),
         F.count_if(quake).alias("earthquake_events"),
         F.count_if(fire).alias("fire_events"),
-        exact_sum(F.when(quake, F.coalesce("magnitude", F.lit(0.0)))).alias("magnitudes"),
-        exact_sum(F.when(fire, F.coalesce("frp", F.lit(0.0)))).alias("powers"),
+        sum_of("magnitude").alias("magnitudes"),
+        sum_of("power").alias("powers"),
         F.count_if(F.lower("severity") == "high").alias("high_severity_events"),
         F.count_if(recent).alias("recent_events"),
     )

@@ -385,6 +385,13 @@ SELECT count(*) AS total_countries, floor(CAST(sum(CAST(vulnerability_index AS D
     }
     plain["stream_cells"] = plain["event_cells"]
     plain["reverse_geocode_indexed"] = plain["reverse_geocode"]
+    plain["anomalies_incremental"] = plain["anomalies"]
+    plain["tile_pyramid"] = """
+SELECT zoom, tile_x, tile_y, count(*) AS event_count, CASE max(CASE severity WHEN 'high' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'moderate' ELSE 'low' END AS max_severity
+FROM (SELECT severity, CAST(zoom AS INTEGER) AS zoom, CAST(floor((longitude + 180) / 360 * (2 ** zoom)) AS INTEGER) AS tile_x,
+    CAST(floor((1 - ln(tan(pi() / 4 + radians(latitude) / 2)) / pi()) / 2 * (2 ** zoom)) AS INTEGER) AS tile_y
+  FROM events3, generate_series(0, 10) AS g(zoom))
+GROUP BY ALL"""
     plain["merge_cells"] = plain["latest_cells"]
     plain["ingest_geojson_split"] = plain["ingest_geojson"]
     plain["incremental_load"] = f"""

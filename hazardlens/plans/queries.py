@@ -271,6 +271,17 @@ def anomalies(spark, sf):
     return history.anomalies(views.disasters(spark, sf), ANOMALY_Z)
 
 
+def anomalies_incremental(spark, sf):
+    """Limits merged from the moments of three loads, each scanned once when it came."""
+    folder, rows = shared_folder(spark, "moments"), views.disasters(spark, sf)
+    first, second = (F.lit(d).cast("date") for d in ("2024-01-11", "2024-01-21"))
+    load = F.when(F.col("start_date") < first, 1).when(F.col("start_date") < second, 2).otherwise(3)
+    for i in (3, 1, 2):
+        history.moments(rows.filter(load == i)).write.parquet(f"{folder}/load={i}")
+    merged = history.merge_moments(spark.read.parquet(folder))
+    return history.anomalies(rows, ANOMALY_Z, history.statistics(merged))
+
+
 def anomaly_list(spark, sf):
     return listing.anomaly_list(anomalies(spark, sf), anomaly_type="deaths", by="magnitude", direction="desc")
 
@@ -344,6 +355,7 @@ def queries() -> dict[str, Query]:
         "merge_colocated": lambda s, d: geo.merge_colocated(_live(s, d)),
         "resolve_ids": resolve_ids,
         "mercator_grid": lambda s, d: geo.mercator_grid(_live(s, d)),
+        "tile_pyramid": lambda s, d: geo.tile_pyramid(_live(s, d)),
         "alert_candidates": lambda s, d: alerts.alert_candidates(views.events(s, d)),
         "alerts_cooldown": lambda s, d: alerts.alerts(views.events(s, d), QUERY_COOLDOWN),
         "alert_messages": alert_messages,
@@ -351,6 +363,7 @@ def queries() -> dict[str, Query]:
         "correlation_list": correlation_list,
         "correlation_choices": lambda s, d: listing.correlation_choices(history.correlated_days(views.disasters(s, d))),
         "anomalies": anomalies,
+        "anomalies_incremental": anomalies_incremental,
         "anomaly_list": anomaly_list,
         "hotspots": hotspots,
         "hotspot_list": lambda s, d: listing.hotspot_list(hotspots(s, d), "flood"),

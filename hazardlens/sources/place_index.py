@@ -11,9 +11,10 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazardlens.functions.geometry import z_order
 from hazardlens.operators import geo
 
 #: Places of one cell in one part.
@@ -24,16 +25,6 @@ _CELLS = "py int, px int, parts int"
 _ABOUT = "radius_km double, buckets int"
 
 
-def z_order(y: Column, x: Column, bits: int = 16) -> Column:
-    """The bits of two small numbers in turn: near cells have near numbers."""
-    out = F.lit(0).cast("bigint")
-    for i in range(bits):
-        for k, v in enumerate((x, y)):
-            bit = F.shiftright(v, i).bitwiseAND(1).cast("bigint")
-            out = out.bitwiseOR(F.shiftleft(bit, 2 * i + k))
-    return out
-
-
 @dataclass(frozen=True)
 class PlaceIndex:
     """A stored index that points are looked up in; made by ``build`` or ``open_index``."""

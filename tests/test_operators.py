@@ -425,3 +425,46 @@ def test_cards_read_the_event_table_narrowly_for_now(spark, small):
 
     p = queries()["kpi_cards"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in p
+
+
+def test_moments_merge_in_any_order(spark, small):
+    import itertools
+
+    from hazardlens.plans import views
+
+    d = views.disasters(spark, small).select("disaster_type", "magnitude", "deaths", "affected").persist()
+    parts = [history.moments(d.filter(F.col("deaths") % 5 == i)).persist() for i in range(3)] + [history.moments(d.filter(F.col("deaths") % 5 > 2)).persist()]
+    whole = {(r[0], r[1]): r[2:] for r in history.moments(d).collect()}
+    for order in list(itertools.permutations(range(4)))[::9]:
+        a, b, c, e = (parts[i] for i in order)
+        merged = history.merge_moments(history.merge_moments(a.union(b)).union(c).union(e))
+        got = {(r[0], r[1]): r[2:] for r in merged.collect()}
+        assert got.keys() == whole.keys()
+        for k, (n, mean, m2) in got.items():
+            assert n == whole[k][0] and mean == pytest.approx(whole[k][1], rel=1e-12) and m2 == pytest.approx(whole[k][2], rel=1e-9, abs=1e-9)
+    limits = {r[0]: r[1:] for r in history.statistics(history.merge_moments(parts[0].union(parts[1]).union(parts[2]).union(parts[3]))).collect()}
+    for kind, avg, std in d.groupBy("disaster_type").agg(F.avg("deaths"), F.stddev_samp("deaths")).collect():
+        assert limits[kind][1] == pytest.approx(avg, rel=1e-9) and limits[kind][4] == pytest.approx(std, rel=1e-9)
+
+
+def test_z_order_there_and_back(spark):
+    from hazardlens.functions import geometry
+
+    pairs = spark.range(64).selectExpr("CAST(id div 8 AS INT) AS y", "CAST(id % 8 AS INT) AS x").withColumn("z", geometry.z_order(F.col("y"), F.col("x"), 3))
+    y, x = geometry.from_z_order(F.col("z"), 3)
+    got = pairs.select("y", "x", "z", y.alias("y2"), x.alias("x2")).collect()
+    assert sorted(r["z"] for r in got) == list(range(64)) and all((r["y"], r["x"]) == (r["y2"], r["x2"]) for r in got)
+    assert {(r["y"], r["x"]): r["z"] for r in got}[2, 3] == 0b1101
+
+
+def test_tile_pyramid_edges(spark):
+    from hazardlens.operators import geo
+
+    points = [(90.0, -180.0, "low"), (-90.0, 180.0, "high"), (0.0, 0.0, None), (None, 1.0, "low"), (85.06, 179.99, "moderate")]
+    out = geo.tile_pyramid(spark.createDataFrame(points, "latitude double, longitude double, severity string"), zoom=2)
+    got = {tuple(r)[:3]: (r["event_count"], r["max_severity"]) for r in out.collect()}
+    assert got[0, 0, 0] == (4, "high")
+    assert {k: v for k, v in got.items() if k[0] == 2} == {(2, 0, 0): (1, "low"), (2, 3, 3): (1, "high"), (2, 2, 2): (1, "Unknown"), (2, 3, 0): (1, "moderate")}
+    assert len([k for k in got if k[0] == 1]) == 3
+    only = geo.tile_pyramid(spark.createDataFrame(points, "latitude double, longitude double, severity string"), zoom=0)
+    assert [tuple(r) for r in only.collect()] == [(0, 0, 0, 4, "high")]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pytest
 from conftest import plan, rows
-from pyspark.sql import functions as F
 
 from hazardlens import schemas
 from hazardlens.operators import geo
@@ -57,9 +56,3 @@ def test_stream_fills_places_from_the_index(spark, tmp_path):
     stream = jobs.watermarked(spark.readStream.schema(schemas.HAZARD_EVENT).parquet(str(tmp_path / "in")))
     sinks.finish(jobs.start_ingest(stream, str(tmp_path / "out"), str(tmp_path / "c"), gazetteer=index, trigger=jobs.DRAIN))
     assert rows(spark.read.parquet(str(tmp_path / "out")), "id", "city", "country") == [("a", "C", "Given"), ("b", "Unknown", "Unknown")]
-
-
-def test_z_order(spark):
-    got = spark.range(4).join(spark.range(4).withColumnRenamed("id", "x")).select(place_index.z_order(F.col("id").cast("int"), F.col("x").cast("int")).alias("z"), "id", "x")
-    assert [r["z"] for r in got.orderBy("z").collect()] == list(range(16))
-    assert {(r["id"], r["x"]): r["z"] for r in got.collect()}[(2, 3)] == 0b1101
