@@ -392,6 +392,9 @@ FROM (SELECT severity, CAST(zoom AS INTEGER) AS zoom, CAST(floor((longitude + 18
     CAST(floor((1 - ln(tan(pi() / 4 + radians(latitude) / 2)) / pi()) / 2 * (2 ** zoom)) AS INTEGER) AS tile_y
   FROM events3, generate_series(0, 10) AS g(zoom))
 GROUP BY ALL"""
+    total = "(SELECT count(*) FROM events3)"
+    plain["page_deep"] = f"""
+SELECT *, {total} AS total_results, CAST(296 AS BIGINT) AS from_row, least(CAST(300 AS BIGINT), {total}) AS to_row FROM events3 ORDER BY time DESC, id LIMIT 5 OFFSET 295"""
     plain["merge_cells"] = plain["latest_cells"]
     plain["ingest_geojson_split"] = plain["ingest_geojson"]
     plain["incremental_load"] = f"""

@@ -12,7 +12,7 @@ from hazardlens import params, schemas
 from hazardlens.functions import grading, places
 from hazardlens.operators import alerts, cells, events, geo, history, listing, metrics
 from hazardlens.plans import views
-from hazardlens.sources import cell_table, feeds, ledger, place_index, topic
+from hazardlens.sources import cell_table, feeds, ledger, place_index, ranked, topic
 from hazardlens.sources.tables import shared_folder
 from hazardlens.streaming import jobs, ordered, publish
 
@@ -177,6 +177,12 @@ def page(spark, sf):
     return listing.page(_live(spark, sf), [F.desc("time"), F.col("id")], 2, 10)
 
 
+def page_deep(spark, sf):
+    """A page far into a stored order."""
+    stored = ranked.RankedListing.build(_live(spark, sf), shared_folder(spark, "ranked"), (("time", True), ("id", False)), parts=32)
+    return stored.page(60, 5)
+
+
 def page_after(spark, sf):
     """The ten rows from the newest time on: those behind a row of that time with the smallest id there could be."""
     last = {"time": views.newest(spark, sf).scalar(), "id": F.lit("")}
@@ -344,6 +350,7 @@ def queries() -> dict[str, Query]:
         "event_feed": event_feed,
         "page": page,
         "page_after": page_after,
+        "page_deep": page_deep,
         "severity_quake4": severity_quake4,
         "severity_fire4": severity_fire4,
         "severity3": severity3,
