@@ -48,7 +48,7 @@ PATTERNS = (
 )
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 #: A text without any of this holds no entity; for Spark's filter.
-MAY_HOLD = rf"[0-9@]|(?iu:{_TITLE})\.? "
+MAY_HOLD = rf"[0-9@]|(?=[{_FIRST}])(?iu:{_TITLE})\.? "
 _POSSESSIVE = re.compile(r"(?:['’][sS]?|-)+$")
 
 
