@@ -196,8 +196,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, ef: int = EF) -> D
                 for query, own_id, near in zip(q, query_ids[at : at + 512].tolist(), _search(x, members, links, flat, ef)):
                     near = near[near >= 0]
                     score = (own[near] * query).sum(1)
-                    order = np.argsort(-score, kind="stable")[: k + 1]
-                    hits = [(-s, i) for s, node in zip(score[order].tolist(), near[order].tolist()) for i in ids[node] if i != own_id]
+                    # One more than k, as one may be the query itself, and all that tie with the last of them.
+                    kept = score >= (np.partition(score, -k - 1)[-k - 1] if len(score) > k + 1 else -np.inf)
+                    hits = [(-s, i) for s, node in zip(score[kept].tolist(), near[kept].tolist()) for i in ids[node] if i != own_id]
                     for s, i in sorted(hits)[:k]:
                         out["query_id"].append(own_id)
                         out["vec_id"].append(i)

@@ -68,6 +68,13 @@ def test_odd_rows(spark):
     assert {q: [(i, s) for _, i, s in v] for q, v in got.items()} == {q: [(i, -s) for s, i in v[0]] for q, v in want.items() if v[0]}
 
 
+def test_ties_go_to_the_smaller_ids_of_all_that_tie(spark):
+    rows = [(0, [1.0, 0.0])] + [(i, [0.5, 0.01 * ((i * 37) % 59)]) for i in range(1, 60) if i % 20] + [(i + 1000, [0.5, -0.01 * i]) for i in (20, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [i for i in range(1, 22) if i != 20] and {r["score"] for r in got} == {0.5}
+
+
 def test_empty(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect() == []
 
