@@ -395,6 +395,7 @@ GROUP BY ALL"""
     total = "(SELECT count(*) FROM events3)"
     plain["page_deep"] = f"""
 SELECT *, {total} AS total_results, CAST(296 AS BIGINT) AS from_row, least(CAST(300 AS BIGINT), {total}) AS to_row FROM events3 ORDER BY time DESC, id LIMIT 5 OFFSET 295"""
+    plain["search_indexed"] = plain["event_search"]
     plain["merge_cells"] = plain["latest_cells"]
     plain["ingest_geojson_split"] = plain["ingest_geojson"]
     plain["incremental_load"] = f"""

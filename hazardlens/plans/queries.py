@@ -12,7 +12,7 @@ from hazardlens import params, schemas
 from hazardlens.functions import grading, places
 from hazardlens.operators import alerts, cells, events, geo, history, listing, metrics
 from hazardlens.plans import views
-from hazardlens.sources import cell_table, feeds, ledger, place_index, ranked, topic
+from hazardlens.sources import cell_table, feeds, ledger, place_index, ranked, text_index, topic
 from hazardlens.sources.tables import shared_folder
 from hazardlens.streaming import jobs, ordered, publish
 
@@ -183,6 +183,12 @@ def page_deep(spark, sf):
     return stored.page(60, 5)
 
 
+def search_indexed(spark, sf):
+    """The search of ``event_search`` in a stored index of its texts."""
+    stored = text_index.TextIndex.build(_live(spark, sf), shared_folder(spark, "texts"), ("place", "type"), blocks=32)
+    return stored.search("America")
+
+
 def page_after(spark, sf):
     """The ten rows from the newest time on: those behind a row of that time with the smallest id there could be."""
     last = {"time": views.newest(spark, sf).scalar(), "id": F.lit("")}
@@ -347,6 +353,7 @@ def queries() -> dict[str, Query]:
         "time_range": time_range,
         "event_filter": lambda s, d: events.event_filter(_live(s, d), "fire", "high"),
         "event_search": lambda s, d: events.event_search(_live(s, d), "America"),
+        "search_indexed": search_indexed,
         "event_feed": event_feed,
         "page": page,
         "page_after": page_after,

@@ -6,7 +6,6 @@ import json
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from hazardlens import schemas
 from hazardlens.streaming import jobs, publish, sinks
