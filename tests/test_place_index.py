@@ -17,12 +17,12 @@ def gazetteer(spark, small):
     return views.gazetteer(spark, small)
 
 
-@pytest.mark.parametrize("part_rows", [1, 50_000])
-def test_lookups_equal_those_of_the_gazetteer(spark, small, gazetteer, tmp_path, part_rows):
+def test_lookups_equal_those_of_the_gazetteer(spark, small, gazetteer, tmp_path):
+    """With so few places to a part that cells with several places have several parts."""
     more = gazetteer.union(gazetteer.selectExpr("place_id + 1000", "lat", "lon", "city", "town", "village", "country")).union(
         spark.sql("SELECT 5000L, CAST(NULL AS DOUBLE), 1.0D, 'x', 'x', 'x', 'x'")
     )
-    index = place_index.build(more, str(tmp_path / "i"), 2000.0, buckets=4, part_rows=part_rows)
+    index = place_index.build(more, str(tmp_path / "i"), 2000.0, buckets=4, part_rows=1)
     h = views.hazard(spark, small).select("id", "latitude", "longitude", "country")
     want = geo.reverse_geocode(h, more, 2000.0)
     assert rows(geo.reverse_geocode(h, index, 2000.0)) == rows(want)
