@@ -7,16 +7,22 @@ frequent tokens have one each, the others share one by their last bytes, and one
 
 Both softmaxes are linear in hashed features of the context: the token before, the two before, the one skipped to, and
 the leaves of the last three. a is the token's training count, with half of each count of one given to the unseen leaf,
-so all outcomes sum to one. Training goes in rounds, each over its own share of the training documents: every task
-descends the gradient on its rows from the shared weights, and the changes are averaged, row by row, over the
-tasks that made them. Counts, rounds and scores cover all documents.
+so all outcomes sum to one. In training, too, half of the tokens that occur once stand for the unseen leaf: ``Rates``
+tells from counts alone how likely a token does, so it is the same wherever the token's count is stored.
 
-Broadcast are the weights (6 MB) and the counts of the ``TOP`` most frequent tokens (about 16 MB); the counts of all
-others are joined to the documents that hold them.
+Training goes in rounds, each over its own share of the training documents: every task descends the gradient on its
+rows from the shared weights, and the changes are averaged, row by row, over the tasks that made them. Counts, rounds
+and scores cover all documents. The rows of the weights grow with the root of the training tokens (``class_bits``), as
+distinct contexts grow slower than text and what the tasks send grows with tasks times rows.
+
+Broadcast are the weights (6 MB at 2**16 class rows, 96 MB at the most, 2**20), the rates (a byte for each of at least
+four cells a distinct token, 64 MB at the most) and the counts of the ``TOP`` most frequent tokens (about 16 MB); the
+counts of all others are joined to the documents that hold them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +42,8 @@ TOP = 1 << 20
 ROUNDS = 3
 BATCH = 8192
 RATE = 0.3
-CLASS_BITS, MEMBER_BITS = 16, 15
+LEAST_BITS, MOST_BITS = 16, 20
+RATE_BITS, RATE_SHARD = 26, 15
 CLASS_FEATURES, MEMBER_FEATURES = (0, 1, 2, 3), (0, 3)
 SHARD_ROWS = 1 << 12
 _END = 0x1F83D9ABFB41BD6B
@@ -69,6 +76,39 @@ def tokens(block: kernel.Block) -> Tokens:
     return Tokens(hashes, tail, bounds)
 
 
+@dataclass
+class Rates:
+    """For each cell of hashed tokens, how likely one of its occurrences stands for the unseen leaf, in 255ths.
+
+    That is half of the tokens of count one over all occurrences; tokens that share a cell share its rate, so the sum
+    over all occurrences is right for any number of distinct tokens.
+    """
+
+    bits: int
+    values: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return self.values[(hashes & U((1 << self.bits) - 1)).astype(np.int64)] / 255
+
+
+def unseen_rates(counted: DataFrame, distinct: int, most: int = RATE_BITS) -> Rates:
+    """The rates of all counted tokens, put together by shards of cells."""
+    bits = min(most, max(RATE_SHARD, math.ceil(math.log2(max(1, 4 * distinct)))))
+    cell = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    cells = counted.groupBy(cell.alias("cell")).agg((0.5 * F.count_if(F.col("c") == 1) / F.sum("c")).alias("rate")).filter("rate > 0")
+
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        out = np.zeros(1 << RATE_SHARD, np.uint8)
+        out[table.column("at").to_numpy()] = np.rint(255 * table.column("rate").to_numpy())
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "rates": pa.array([out.tobytes()], pa.binary())})
+
+    placed = cells.select(F.shiftright("cell", RATE_SHARD).alias("shard"), F.col("cell").bitwiseAND((1 << RATE_SHARD) - 1).alias("at"), "rate")
+    values = np.zeros(1 << bits, np.uint8)
+    for r in placed.groupBy("shard").applyInArrow(fill, "shard long, rates binary").toLocalIterator():
+        values[r["shard"] << RATE_SHARD : (r["shard"] + 1) << RATE_SHARD] = np.frombuffer(r["rates"], np.uint8)
+    return Rates(bits, values)
+
+
 @dataclass
 class Lexicon:
     """Counts and leaves of the most frequent tokens; masses and sums over all."""
@@ -79,7 +119,7 @@ class Lexicon:
     mass: np.ndarray  # A of each leaf
     train_tokens: int
     distinct: int
-    unseen_share: float  # of the tokens outside the table, those that training takes as unseen
+    rates: Rates
 
     @property
     def base_zero(self) -> float:
@@ -113,7 +153,8 @@ def lexicon(counted: DataFrame, top: int = TOP) -> Lexicon:
     order = np.argsort(-c)
     fits = np.cumsum(v[order]) <= top
     least = int(c[order][fits].min()) if fits.any() else 1 << 62
-    got = counted.filter(F.col("c") >= least).toArrow()
+    own_leaf = [r["h"] for r in counted.orderBy(F.col("c").desc(), "h").limit(SINGLE).select("h").collect()]
+    got = counted.filter((F.col("c") >= least) | F.col("h").isin(own_leaf)).toArrow()
     h, n, tail = (got.column(x).to_numpy() for x in ("h", "c", "tail"))
     h = h.view(np.uint64)
     order = np.argsort(h)
@@ -121,7 +162,7 @@ def lexicon(counted: DataFrame, top: int = TOP) -> Lexicon:
     mass = np.zeros(256)
     for r in counted.groupBy("tail").agg(F.sum(kept_mass(F.col("c"))).alias("a")).collect():
         mass[r["tail"]] += r["a"]
-    single = np.lexsort((h, -n))[:SINGLE]
+    single = np.searchsorted(h, np.array(own_leaf, np.int64).view(np.uint64))
     own = np.where(n[single] == 1, 0.5, n[single].astype(float))
     np.subtract.at(mass, tail[single], own)
     tail[single] = np.arange(len(single))
@@ -129,9 +170,7 @@ def lexicon(counted: DataFrame, top: int = TOP) -> Lexicon:
     mass = np.maximum(mass, 0)
     mass[UNSEEN] = max(0.5, 0.5 * (total["ones"] or 0))
     train_tokens = total["n"] or 0
-    outside = train_tokens - int(n.sum())
-    outside_ones = (total["ones"] or 0) - int((n == 1).sum())
-    return Lexicon(kernel.Table(h), n, tail, mass, train_tokens, total["v"], 0.5 * outside_ones / outside if outside else 0.0)
+    return Lexicon(kernel.Table(h), n, tail, mass, train_tokens, total["v"], unseen_rates(counted, total["v"]))
 
 
 def _features(t: Tokens, leaf: np.ndarray) -> np.ndarray:
@@ -155,12 +194,18 @@ def _features(t: Tokens, leaf: np.ndarray) -> np.ndarray:
     ], 1)
 
 
+def class_bits(train_tokens: int) -> int:
+    """Bits of the rows for classes: eight times the root of the training tokens, between the least and the most."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(8 * math.sqrt(max(1, train_tokens))))))
+
+
 class Weights:
-    """Two hashed tables of rows of 16 weights, for classes and for members, over the log masses of the leaves."""
+    """Two hashed tables of rows of 16 weights, for classes and for members (half as many), over the log masses of the leaves."""
 
-    def __init__(self, mass: np.ndarray):
+    def __init__(self, mass: np.ndarray, bits: int):
         by = mass.reshape(WIDTH, WIDTH)
-        self.tables = [np.zeros((1 << CLASS_BITS, WIDTH), np.float32), np.zeros((1 << MEMBER_BITS, WIDTH), np.float32)]
+        self.bits = (bits, bits - 1)
+        self.tables = [np.zeros((1 << b, WIDTH), np.float32) for b in self.bits]
         self.bias = np.log(np.maximum(by.sum(1), 1e-13)).astype(np.float32)
         self.bias -= self.bias.max()
         members = np.log(np.maximum(by, 1e-13))
@@ -172,11 +217,11 @@ class Weights:
         return out
 
     def class_rows(self, features: np.ndarray) -> np.ndarray:
-        return (features[:, CLASS_FEATURES] >> U(64 - CLASS_BITS)).astype(np.int64)
+        return (features[:, CLASS_FEATURES] >> U(64 - self.bits[0])).astype(np.int64)
 
     def member_rows(self, features: np.ndarray, of: np.ndarray) -> np.ndarray:
         own = (of.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)
-        return ((features[:, MEMBER_FEATURES] ^ own[:, None]) * U(0xD6E8FEB86659FD93) >> U(64 - MEMBER_BITS)).astype(np.int64)
+        return ((features[:, MEMBER_FEATURES] ^ own[:, None]) * U(0xD6E8FEB86659FD93) >> U(64 - self.bits[1])).astype(np.int64)
 
     def log_p(self, which: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
         table = self.tables[which]
@@ -201,7 +246,7 @@ class _Descent:
         self.w, self.start = start.copy(), start.tables
         self.tables = self.w.tables
         self.squares = [np.full(len(t), 1.0, np.float32) for t in self.tables]
-        self.times = [np.zeros(len(t), np.int64) for t in self.tables]
+        self.times = [np.zeros(len(t), np.int32) for t in self.tables]
 
     def step(self, which: int, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> None:
         gradient = -np.exp(self.w.log_p(which, rows, bias))
@@ -238,7 +283,8 @@ class _Descent:
 def train(docs: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Weights:
     """Weights after ``rounds`` rounds; each training document is in one round, in whichever task reads it."""
     spark = docs.sparkSession
-    weights = Weights(words.mass)
+    weights = Weights(words.mass, class_bits(words.train_tokens))
+    shards = [len(t) // SHARD_ROWS for t in weights.tables]
     shared_words = spark.sparkContext.broadcast(words)
     for number in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
@@ -253,7 +299,7 @@ def train(docs: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Weights:
                     at = own.table.find(t.hashes)
                     leaf = np.where(at >= 0, own.leaves[at], t.tail) if len(own.leaves) else t.tail
                     coin = (kernel.mix(t.hashes ^ (np.arange(len(leaf)).astype(np.uint64) * U(0x9E3779B1))) >> U(11)).astype(np.float64) / (1 << 53)
-                    target = np.where((at < 0) & (coin < own.unseen_share), UNSEEN, leaf)
+                    target = np.where(coin < own.rates.of(t.hashes), UNSEEN, leaf)
                     task.learn(_features(t, leaf), target)
             some = list(task.changes()) if task else []
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int32()), *[pa.array([x[k] for x in some], pa.binary()) for k in (1, 2, 3)]], ["shard", "row", "times", "change"])
@@ -271,10 +317,9 @@ def train(docs: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Weights:
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["shard", "mean"])
 
         share = docs.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)) == number).select("text")
-        changed = share.mapInArrow(descend, "shard int, row binary, times binary, change binary").repartition(24, "shard")
-        classes = (1 << CLASS_BITS) // SHARD_ROWS
+        changed = share.mapInArrow(descend, "shard int, row binary, times binary, change binary").repartition(sum(shards), "shard")
         for r in changed.mapInArrow(average, "shard int, mean binary").toLocalIterator():
-            which, place = (0, r["shard"]) if r["shard"] < classes else (1, r["shard"] - classes)
+            which, place = (0, r["shard"]) if r["shard"] < shards[0] else (1, r["shard"] - shards[0])
             weights.tables[which][place * SHARD_ROWS : (place + 1) * SHARD_ROWS] += np.frombuffer(r["mean"], np.float32).reshape(-1, WIDTH)
         shared.destroy()
         release(spark)

@@ -32,10 +32,37 @@ def test_counts_and_base_against_brute_force(spark, small, which, top):
     assert all(r["score"] <= 1e-6 for r in got)
 
 
-def test_scores_do_not_depend_on_where_counts_are(spark, small):
-    rows = [r[:2] for r in sample(small)]
-    whole = {r["doc_id"]: r["score"] for r in maxent.fit_and_score(docs_frame(spark, rows)).collect()}
-    assert all(math.isfinite(s) for s in whole.values())
+@pytest.mark.parametrize("top", [3, 2000])
+def test_scores_do_not_depend_on_where_counts_are(spark, small, top):
+    docs = docs_frame(spark, [r[:2] for r in sample(small)], extra=False)
+    whole, part = ({r["doc_id"]: r["score"] for r in maxent.fit_and_score(docs, t).collect()} for t in (maxent.TOP, top))
+    assert part == pytest.approx(whole, rel=1e-6)
+
+
+def test_unseen_rates_are_half_of_the_counts_of_one(spark, small):
+    counted = maxent.count_tokens(docs_frame(spark, [r[:2] for r in sample(small)]))
+    c = {r["h"]: r["c"] for r in counted.collect()}
+    cells = lambda bits: np.array(list(c), np.int64).view(np.uint64) & np.uint64((1 << bits) - 1)
+    for most in (15, maxent.RATE_BITS):  # many tokens in a cell, and few
+        rates = maxent.unseen_rates(counted, 1 if most == 15 else len(c), most)
+        sums, ones = np.zeros(1 << rates.bits), np.zeros(1 << rates.bits)
+        np.add.at(sums, cells(rates.bits).astype(int), list(c.values()))
+        np.add.at(ones, cells(rates.bits).astype(int), [0.5 * (n == 1) for n in c.values()])
+        assert np.abs(rates.values / 255 - ones / np.maximum(sums, 1)).max() < 1 / 255
+
+
+def test_rows_of_weights_grow_with_the_training_tokens():
+    bits = [maxent.class_bits(n) for n in (0, 10**6, 10**8, 10**9, 10**10)]
+    assert bits == sorted(bits) and bits[0] == maxent.LEAST_BITS and len(set(bits)) >= 4
+
+
+def test_unseen_leaf_is_learnt_from_context(spark):
+    """After "name" stands a new word each time, after "the" the same one: a new word is likelier after "name"."""
+    rows = [(i, f"the house name q{i}x the house name z{i}y the house") for i in range(3000)]
+    docs = docs_frame(spark, rows, extra=False)
+    test = [(10**6 + i, t) for i in range(200) for t in ("the house name neverseen", "the neverseen name house") if zlib.crc32(str(10**6 + i).encode()) % 7 == 2]
+    got = maxent.fit_and_score(docs.union(docs_frame(spark, test, extra=False))).filter("doc_id >= 1000000").select("score").toPandas()
+    assert len(set(got.score.round(6))) == 2 and got.score.max() - got.score.min() > 1
 
 
 def test_outcomes_sum_to_one(spark, small):
