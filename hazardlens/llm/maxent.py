@@ -225,9 +225,10 @@ class Weights:
 
     def log_p(self, which: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
         table = self.tables[which]
-        logits = bias + table[rows[:, 0]]
+        logits = table.take(rows[:, 0], 0, mode="clip")  # all rows are inside; take copies whole rows, indexing goes by value
+        logits += bias
         for k in range(1, rows.shape[1]):
-            logits += table[rows[:, k]]
+            logits += table.take(rows[:, k], 0, mode="clip")
         logits -= logits.max(1, keepdims=True)
         logits -= np.log(np.exp(logits).sum(1, keepdims=True))
         return logits
@@ -245,21 +246,30 @@ class _Descent:
     def __init__(self, start: Weights):
         self.w, self.start = start.copy(), start.tables
         self.tables = self.w.tables
+        self.whole = [t.view(f"V{t.itemsize * WIDTH}").ravel() for t in self.tables]  # each row as one value
         self.squares = [np.full(len(t), 1.0, np.float32) for t in self.tables]
         self.times = [np.zeros(len(t), np.int32) for t in self.tables]
 
     def step(self, which: int, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> None:
-        gradient = -np.exp(self.w.log_p(which, rows, bias))
+        gradient = self.w.log_p(which, rows, bias)
+        np.negative(np.exp(gradient, out=gradient), out=gradient)
         gradient[np.arange(len(target)), target] += 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
+        # rows with their places in one sorted number: equal rows stay in the order of their places
+        placed = np.sort(rows.ravel() << 16 | np.arange(rows.size))
+        flat, source = placed >> 16, (placed & 0xFFFF) // rows.shape[1]
         first = np.flatnonzero(np.diff(flat, prepend=-1))
-        sums = np.add.reduceat(gradient[order // rows.shape[1]], first, axis=0)
+        size = np.diff(first, append=len(flat))
+        sums, many = gradient.take(source[first], 0, mode="clip"), np.flatnonzero(size > 1)
+        if len(many):
+            runs = gradient.take(source[np.repeat(size > 1, size)], 0, mode="clip")
+            sums[many] = np.add.reduceat(runs, np.cumsum(size[many]) - size[many], axis=0)
         touched = flat[first]
-        self.squares[which][touched] += (sums * sums).mean(1)
-        self.tables[which][touched] += RATE * sums / np.sqrt(self.squares[which][touched])[:, None]
-        self.times[which][touched] += np.diff(first, append=len(flat))
+        squares = self.squares[which].take(touched) + np.einsum("ij,ij->i", sums, sums) / WIDTH
+        self.squares[which][touched] = squares
+        new = np.einsum("ij,i->ij", sums, np.float32(RATE) / np.sqrt(squares))
+        new += self.tables[which].take(touched, 0, mode="clip")
+        self.whole[which][touched] = new.view(self.whole[which].dtype).ravel()
+        self.times[which][touched] += size
 
     def learn(self, features: np.ndarray, leaf: np.ndarray) -> None:
         for at in range(0, len(leaf), BATCH):
