@@ -229,13 +229,15 @@ def collection_files(documents: DataFrame, member: str, folder: str) -> None:
     """Feed documents of one day each, as files: the objects of the documents (value, day) end to end in one array, behind
     and before what other keys hold."""
     body = documents.select("day", F.explode(F.from_json(F.get_json_object("value", f"$.{member}"), "array<string>")).alias("value"))
-    n = F.row_number().over(Window.partitionBy("day").orderBy("value"))
-    lines = body.select("day", n.alias("n"), F.concat(F.when(n > 1, ",").otherwise(""), "value").alias("value"))
-    days = documents.select("day").distinct()
-    head = F.lit('{"type":"FeatureCollection","metadata":{"note":"a { or \\"[ here","ids":[{"id":"x"}]},"' + member + '":[')
-    foot = F.lit('],"others":[{"id":"y"}],"bbox":[-180,-90,180,90]}')
-    every = lines.union(days.select("day", F.lit(0), head)).union(days.select("day", F.lit(2**31 - 1), foot))
-    every.repartition("day").sortWithinPartitions("day", "n").select("day", "value").write.partitionBy("day").text(folder)
+    order = Window.partitionBy("day").orderBy("value")
+    numbered = body.select("day", "value", F.row_number().over(order).alias("n"), F.lead(F.lit(True)).over(order).isNull().alias("last"))
+    head = F.lit('{"type":"FeatureCollection","metadata":{"note":"a { or \\"[ here","ids":[{"id":"x"}]},"' + member + '":[\n')
+    foot = F.lit('\n],"others":[{"id":"y"}],"bbox":[-180,-90,180,90]}')
+    # Head and foot go with the first and last object of a day. As rows of their own, in a union, they came to other files
+    # than the day's objects: a union counts as dealt by day already, and its sides are then coalesced each by itself.
+    line = F.concat(F.when(F.col("n") == 1, head).otherwise(","), "value", F.when(F.col("last"), foot).otherwise(""))
+    lines = numbered.repartition("day").sortWithinPartitions("day", "n").select("day", line.alias("value"))
+    lines.write.partitionBy("day").text(folder)
 
 
 FIRE_CSV_HEADER = "latitude string, longitude string, bright_ti4 string, acq_date string, acq_time string, frp string, daynight string"

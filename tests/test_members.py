@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from hazardlens.plans import queries as registered
+from hazardlens.plans import views
 from hazardlens.sources import feeds, members
 
 
@@ -121,6 +122,23 @@ def test_registered_query_with_cuts_in_every_file(spark, small, small_splits):
     assert rows(registered.queries()["ingest_geojson_split"](spark, small)) == want
 
 
+def test_a_collection_is_one_whole_document_however_its_rows_are_coalesced(spark, tmp_path):
+    own = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1000"}
+    before = {n: spark.conf.get(n) for n in own}
+    docs = [(json.dumps({"features": [{"id": f"{d}-{i // 2}", "t": "x" * 50}] * (1 + i % 2)}), d) for d in range(12) for i in range(200)]
+    try:
+        for n, v in own.items():
+            spark.conf.set(n, v)
+        views.collection_files(spark.createDataFrame(docs, "value string, day int").repartition(4), "features", str(tmp_path / "days"))
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    files = list(tmp_path.glob("days/*/*.txt"))
+    assert len(files) == 12
+    assert all(len(json.loads(f.read_text())["features"]) == 300 for f in files)
+    assert len(read(spark, tmp_path / "days")) == 3600
+
+
 def test_natural_events_split(spark, tmp_path, small_splits):
     docs = {"events": [{"id": str(i), "title": "t}", "categories": [{"title": "a"}, {}], "geometry": [{"date": "2024-01-01T00:00:00Z", "coordinates": [1, 2]}]} for i in range(50)]}
     (tmp_path / "e.json").write_text(json.dumps(docs))
