@@ -15,17 +15,25 @@ from hazardlens.operators.events import event_value
 from hazardlens.operators.skew import hot_keys, salted_join
 
 FINE_PER_COARSE = 8
+#: Places that share a cell, as the average place sees it, above which cells are halved, and how often at most.
+CROWD = 16
+MOST_DEPTH = 8
+#: Places of one cell in one part.
+PART_ROWS = 256
+_SLACK_KM = 2e-6  # distances are compared rounded to 1e-6
+_PLACE = ["place_id", "p_lat", "p_lon", "city", "country"]
 
 
 class _Grid:
-    """A two-level grid: coarse cells are at least the search radius wide, fine cells split them."""
+    """Coarse cells at least as wide as the search radius, and fine cells that split them, halved ``depth`` times more."""
 
-    def __init__(self, radius_km: float):
-        self.radius = radius_km
+    def __init__(self, radius_km: float, depth: int = 0):
+        self.radius, self.depth = radius_km, depth
+        self.per_coarse = FINE_PER_COARSE << depth
         self.coarse_ring = max(1, math.floor(360 * geometry.KM_PER_DEGREE / radius_km))
         self.coarse = 360 / self.coarse_ring
-        self.fine = self.coarse / FINE_PER_COARSE
-        self.fine_ring = self.coarse_ring * FINE_PER_COARSE
+        self.fine = self.coarse / self.per_coarse
+        self.fine_ring = self.coarse_ring * self.per_coarse
 
     def fine_y(self, lat: Column) -> Column:
         return F.floor((lat + F.lit(90.0)) / F.lit(self.fine)).cast("int")
@@ -34,7 +42,7 @@ class _Grid:
         return F.pmod(F.floor((lon + F.lit(180.0)) / F.lit(self.fine)), F.lit(self.fine_ring)).cast("int")
 
     def coarse_of(self, index: Column) -> Column:
-        return F.floor(index / F.lit(FINE_PER_COARSE)).cast("int")
+        return F.floor(index / F.lit(self.per_coarse)).cast("int")
 
     def edges(self, y: Column) -> tuple[Column, Column]:
         south = F.greatest(F.lit(-90.0), y * F.lit(self.fine) - F.lit(90.0))
@@ -65,25 +73,73 @@ class _Grid:
         dx = F.least(F.abs(x1 - x2), F.lit(self.fine_ring) - F.abs(x1 - x2))
         min1, max1 = self.cos_range(y1)
         min2, max2 = self.cos_range(y2)
-
-        def arc(dlat: Column, dlon: Column, cosines: Column) -> Column:
-            h = F.pow(F.sin(F.radians(dlat) / 2), F.lit(2.0)) + cosines * F.pow(F.sin(F.radians(dlon) / 2), F.lit(2.0))
-            return F.lit(2 * params.EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
-
         fine = F.lit(self.fine)
-        low = arc(F.greatest(dy - 1, F.lit(0)) * fine, F.greatest(dx - 1, F.lit(0)) * fine, min1 * min2)
-        high = arc((dy + 1) * fine, F.least((dx + 1) * fine, F.lit(180.0)), max1 * max2)
+        low = _arc(F.greatest(dy - 1, F.lit(0)) * fine, F.greatest(dx - 1, F.lit(0)) * fine, min1 * min2)
+        high = _arc((dy + 1) * fine, F.least((dx + 1) * fine, F.lit(180.0)), max1 * max2)
+        return low, high
+
+    def box(self, y: Column, x: Column) -> list[Column]:
+        """What ``distances_to_box`` needs of a fine cell."""
+        (south, north), (least, most) = self.edges(y), self.cos_range(y)
+        west = x * F.lit(self.fine) - F.lit(180.0)
+        return [south.alias("south"), north.alias("north"), west.alias("west"), least.alias("cos_least"), most.alias("cos_most")]
+
+    def distances_to_box(self, lat: Column, lon: Column, box: Column) -> tuple[Column, Column]:
+        """Least and greatest distance in km, or less and more, between a point and the points of a fine cell."""
+        below, above = box["south"] - lat, lat - box["north"]
+        east = F.pmod(lon - box["west"], F.lit(360.0))
+        dlon = F.when(east <= F.lit(self.fine), F.lit(0.0)).otherwise(F.least(east - F.lit(self.fine), F.lit(360.0) - east))
+        own = F.cos(F.radians(lat))
+        low = _arc(F.greatest(below, above, F.lit(0.0)), dlon, own * box["cos_least"])
+        high = _arc(F.greatest(F.abs(below), F.abs(above)), F.least(dlon + F.lit(self.fine), F.lit(180.0)), own * box["cos_most"])
         return low, high
 
 
-def placed_cells(gazetteer: DataFrame, grid: _Grid) -> DataFrame:
-    """The places of a gazetteer with their names and the fine cell (py, px) that each lies in."""
-    return gazetteer.select(
-        "place_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
-        F.coalesce("city", "town", "village", F.lit(places.UNKNOWN)).alias("city"),
-        F.coalesce("country", F.lit(places.UNKNOWN)).alias("country"),
-        grid.fine_y(F.col("lat")).alias("py"), grid.fine_x(F.col("lon")).alias("px"),
+def _arc(dlat: Column, dlon: Column, cosines: Column) -> Column:
+    h = F.pow(F.sin(F.radians(dlat) / 2), F.lit(2.0)) + cosines * F.pow(F.sin(F.radians(dlon) / 2), F.lit(2.0))
+    return F.lit(2 * params.EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+
+def distinct_places(gazetteer: DataFrame) -> DataFrame:
+    """The places of a gazetteer with their names; of those at one coordinate the one that wins every tie."""
+    named = gazetteer.filter("lat IS NOT NULL AND lon IS NOT NULL").select(
+        F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
+        F.struct(
+            "place_id", F.coalesce("city", "town", "village", F.lit(places.UNKNOWN)).alias("city"),
+            F.coalesce("country", F.lit(places.UNKNOWN)).alias("country"),
+        ).alias("place"),
     )
+    return named.groupBy("p_lat", "p_lon").agg(F.min("place").alias("place")).select("p_lat", "p_lon", "place.*")
+
+
+def placed_cells(distinct: DataFrame, grid: _Grid) -> DataFrame:
+    """Places with the fine cell (py, px) that each lies in."""
+    return distinct.select(*_PLACE, grid.fine_y(F.col("p_lat")).alias("py"), grid.fine_x(F.col("p_lon")).alias("px"))
+
+
+def grid_for(distinct: DataFrame, radius_km: float) -> _Grid:
+    """The grid whose cells the places do not crowd: the sum of squares of the cells' counts tells what the average place
+    sees. One small row for each depth comes to the driver."""
+    deepest = placed_cells(distinct, _Grid(radius_km, MOST_DEPTH)).groupBy("py", "px").agg(F.count("*").alias("n"))
+    up = F.col("depth") - F.lit(MOST_DEPTH)
+    every = deepest.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(MOST_DEPTH)))).groupBy(
+        "depth", F.call_function("shiftright", "py", -up).alias("y"), F.call_function("shiftright", "px", -up).alias("x")
+    )
+    n = F.col("n").cast("double")
+    crowds = every.agg(F.sum("n").alias("n")).groupBy("depth").agg((F.sum(n * n) / F.sum(n)).alias("crowd")).collect()
+    return _Grid(radius_km, min((r["depth"] for r in crowds if r["crowd"] <= CROWD), default=MOST_DEPTH if crowds else 0))
+
+
+def cells_with_parts(placed: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(py, px, parts): the cells that hold places, and to how many parts these are dealt."""
+    return placed.groupBy("py", "px").agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("parts"))
+
+
+def packed_places(placed: DataFrame, cells: DataFrame) -> DataFrame:
+    """(py, px, part, places): the places of a part as one row."""
+    part = F.pmod(F.xxhash64("place_id", "p_lat", "p_lon"), F.col("parts")).cast("int")
+    dealt = placed.join(cells, ["py", "px"]).withColumn("part", part)
+    return dealt.groupBy("py", "px", "part").agg(F.collect_list(F.struct(*_PLACE)).alias("places"))
 
 
 def _degrees() -> tuple[Column, Column]:
@@ -96,48 +152,81 @@ def point_cells(points: DataFrame, grid: _Grid) -> DataFrame:
     return points.select("lat_c", "lon_c", grid.fine_y(lat).alias("ey"), grid.fine_x(lon).alias("ex"))
 
 
+def _possible(pairs: DataFrame, grid: _Grid) -> DataFrame:
+    """The cell pairs (ey, ex, py, px) that may hold a point and its nearest place."""
+    low, high = grid.distance_bounds(F.col("ey"), F.col("ex"), F.col("py"), F.col("px"))
+    near = pairs.select("ey", "ex", "py", "px", low.alias("low"), high.alias("high")).filter(F.col("low") <= F.lit(grid.radius + _SLACK_KM))
+    least = F.min("high").over(Window.partitionBy("ey", "ex"))
+    return near.withColumn("least", least).filter(F.col("low") <= F.col("least") + F.lit(_SLACK_KM)).select("ey", "ex", "py", "px")
+
+
 def cells_in_reach(pts: DataFrame, place_cells: DataFrame, grid: _Grid) -> DataFrame:
     """(ey, ex, py, px): for each point cell the place cells that can hold the nearest place.
 
     Cells are compared before points: a place cell stays a candidate of a point cell only if its
-    least distance does not exceed the smallest greatest distance to any place cell. The number
-    of cells is bounded by the grid, so dense cells are never joined with all points around them.
+    least distance does not exceed the smallest greatest distance to any place cell. The widest
+    cells are compared first and only the halves of what remains after them, so the pairs of a
+    point cell stay few however fine the grid is.
     """
+    def cells_at(cells: DataFrame, names: tuple[str, str], depth: int) -> DataFrame:
+        return cells.select(*[F.shiftright(c, grid.depth - depth).alias(c) for c in names]).distinct()
+
+    first = _Grid(grid.radius)
     around = (
-        pts.select("ey", "ex").distinct()
-        .withColumn("cx", F.explode(grid.coarse_columns_around(F.col("ey"), F.col("ex"))))
-        .withColumn("cy", F.explode(F.sequence(grid.coarse_of(F.col("ey")) - 1, grid.coarse_of(F.col("ey")) + 1)))
-    )
-    indexed = place_cells.withColumns({"cx": grid.coarse_of(F.col("px")), "cy": grid.coarse_of(F.col("py"))})
-    low, high = grid.distance_bounds(F.col("ey"), F.col("ex"), F.col("py"), F.col("px"))
-    slack = F.lit(1e-6)
-    cell_pairs = (
-        around.join(indexed, ["cy", "cx"])
-        .select("ey", "ex", "py", "px", low.alias("low"), high.alias("high"))
-        .filter(F.col("low") <= F.lit(grid.radius) + slack)
+        cells_at(pts, ("ey", "ex"), 0)
+        .withColumn("cx", F.explode(first.coarse_columns_around(F.col("ey"), F.col("ex"))))
+        .withColumn("cy", F.explode(F.sequence(first.coarse_of(F.col("ey")) - 1, first.coarse_of(F.col("ey")) + 1)))
     )
-    least = F.min("high").over(Window.partitionBy("ey", "ex"))
-    return cell_pairs.withColumn("least", least).filter(F.col("low") <= F.col("least") + slack).select("ey", "ex", "py", "px")
+    indexed = cells_at(place_cells, ("py", "px"), 0).withColumns({"cx": first.coarse_of(F.col("px")), "cy": first.coarse_of(F.col("py"))})
+    pairs = _possible(around.join(indexed, ["cy", "cx"]), first)
+    for depth in range(1, grid.depth + 1):
+        halves = pairs.toDF("_ey", "_ex", "_py", "_px")
+        for names in (("ey", "ex"), ("py", "px")):
+            cells = cells_at(pts if names[0] == "ey" else place_cells, names, depth)
+            halves = halves.join(cells.withColumns({f"_{c}": F.shiftright(c, 1) for c in names}), [f"_{c}" for c in names])
+        pairs = _possible(halves, _Grid(grid.radius, depth))
+    return pairs
+
+
+def wanted_parts(pts: DataFrame, cells: DataFrame, grid: _Grid) -> DataFrame:
+    """(lat_c, lon_c, py, px, part): the parts in which a point's nearest place can be, by the point's own distances to the
+    cells that its cell has in reach."""
+    reach = cells_in_reach(pts, cells.select("py", "px"), grid).join(cells, ["py", "px"])
+    box = F.struct("py", "px", "parts", *grid.box(F.col("py"), F.col("px")))
+    around = reach.groupBy("ey", "ex").agg(F.collect_list(box).alias("boxes"))
+
+    def measured(c: Column) -> Column:
+        low, high = grid.distances_to_box(*_degrees(), c)
+        return F.struct(c["py"].alias("py"), c["px"].alias("px"), c["parts"].alias("parts"), low.alias("low"), high.alias("high"))
+
+    near = pts.join(around, ["ey", "ex"]).select("lat_c", "lon_c", F.transform("boxes", measured).alias("boxes"))
+    near = near.withColumn("least", F.array_min(F.transform("boxes", lambda c: c["high"])))
+    near = near.select("lat_c", "lon_c", F.inline(F.filter("boxes", lambda c: c["low"] <= F.col("least") + F.lit(_SLACK_KM))))
+    return near.select("lat_c", "lon_c", "py", "px", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
 
 def nearest_met(met: DataFrame, radius_km: float) -> DataFrame:
-    """The nearest place of each point among the places it has met; ties go to the smaller place_id."""
-    km = geometry.haversine_km(*_degrees(), F.col("p_lat"), F.col("p_lon"))
+    """The nearest place of each point among the ``places`` of the parts it has met; ties go to the smaller place_id."""
+    def near(p: Column) -> Column:
+        km = geometry.haversine_km(*_degrees(), p["p_lat"], p["p_lon"])
+        return F.struct(round_to(km, 6).alias("km"), p["place_id"].alias("place_id"), p["city"].alias("city"), p["country"].alias("country"))
+
     return (
-        met.withColumn("km", round_to(km, 6))
-        .filter(F.col("km") <= radius_km)
+        met.select("lat_c", "lon_c", F.array_min(F.transform("places", near)).alias("near"))
+        .filter(F.col("near.km") <= radius_km)
         .groupBy("lat_c", "lon_c")
-        .agg(F.min(F.struct("km", "place_id", "city", "country")).alias("near"))
+        .agg(F.min("near").alias("near"))
     )
 
 
 def nearest_places(points: DataFrame, gazetteer: DataFrame, radius_km: float) -> DataFrame:
     """For each distinct point (lat_c, lon_c in hundredths of a degree) the nearest place within the radius."""
-    grid = _Grid(radius_km)
-    pts, plc = point_cells(points, grid), placed_cells(gazetteer, grid)
-    place_cells = plc.groupBy("py", "px").agg(F.count("*").alias("rows"))
-    wanted = pts.join(cells_in_reach(pts, place_cells, grid), ["ey", "ex"]).select("lat_c", "lon_c", "py", "px")
-    return nearest_met(salted_join(plc, wanted, ["py", "px"], hot_keys(place_cells, ["py", "px"])), radius_km)
+    distinct = distinct_places(gazetteer)
+    grid = grid_for(distinct, radius_km)
+    placed = placed_cells(distinct, grid)
+    cells = cells_with_parts(placed)
+    wanted = wanted_parts(point_cells(points, grid), cells, grid)
+    return nearest_met(wanted.join(packed_places(placed, cells), ["py", "px", "part"]), radius_km)
 
 
 def reverse_geocode(events: DataFrame, gazetteer, radius_km: float = 50.0, keep_given: bool = True) -> DataFrame:

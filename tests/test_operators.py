@@ -168,6 +168,24 @@ def test_geocode_equals_brute_force(spark, radius):
             assert got[i] == (best[1], f"t{best[1]}" if best[1] % 2 else "Unknown", "X")
 
 
+def test_geocode_meets_few_places_however_many_share_a_cell(spark):
+    rnd = random.Random(5)
+    spots = [(i, round(45 + rnd.uniform(0, 2), 3), round(7 + rnd.uniform(0, 2), 3)) for i in range(3000)] + [(9000 + i, 45.5, 7.5) for i in range(500)]
+    points = [(round(100 * (45 + rnd.uniform(-0.5, 2.5))), round(100 * (7 + rnd.uniform(-0.5, 2.5)))) for _ in range(200)]
+    names = "place_id long, lat double, lon double, city string, town string, village string, country string"
+    gaz = spark.createDataFrame([(*s, "C", None, None, "X") for s in spots], names)
+    pts = spark.createDataFrame(points, "lat_c long, lon_c long").distinct()
+    distinct = geo.distinct_places(gaz)
+    grid = geo.grid_for(distinct, 2000.0)
+    placed = geo.placed_cells(distinct, grid)
+    cells = geo.cells_with_parts(placed)
+    met = geo.wanted_parts(geo.point_cells(pts, grid), cells, grid).join(geo.packed_places(placed, cells), ["py", "px", "part"])
+    most = met.groupBy("lat_c", "lon_c").agg(F.sum(F.size("places")).alias("n")).agg(F.max("n")).first()[0]
+    assert grid.depth > 0 and most <= 400
+    got = {(r["lat_c"], r["lon_c"]): r["near"]["place_id"] for r in geo.nearest_places(pts, gaz, 2000.0).collect()}
+    assert got == {(la, lo): min((round(km((la / 100, lo / 100), (pa, po)), 6), i) for i, pa, po in spots)[1] for la, lo in set(points)}
+
+
 def test_geocode_keeps_given_names(spark):
     gaz = spark.createDataFrame([(1, 0.0, 0.0, "C", None, None, "X")], "place_id long, lat double, lon double, city string, town string, village string, country string")
     ev = spark.createDataFrame([("a", 0.1, 0.1, "Mine", None)], "id string, latitude double, longitude double, city string, country string")
