@@ -64,8 +64,7 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
             yield _sets(block, width)[0]
 
     total = rows.agg(F.sum("n")).first()[0] or 0
-    counted = sketch.build(docs.select("text"), hashes, sketch.bits_for(total, 27), thresholds=(2, 16))
-    shared = docs.sparkSession.sparkContext.broadcast(counted)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch.build(docs.select("text"), hashes, sketch.bits_for(total, 27), thresholds=(2, 16)))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from hazardlens.llm import jaccard_join
+from hazardlens.llm import common, jaccard_join
 from hazardlens.llm.queries import queries
 from tests.llm.helpers import ODD, docs_frame, lower, sample, words
 
@@ -87,3 +87,22 @@ def test_one_of_each(spark):
         assert stays[0] == min((d for d, _ in members if d is not None), default=None)
     assert {g for g in got if not words(g[1])} == {r for r in rows if not words(r[1])}
 
+
+
+def test_components_deal_edges_three_times_a_round(spark, monkeypatch):
+    """Every exchange of a round costs the driver a thread and a stage; a long path needs many rounds."""
+    exchanges, kept = [], common.written
+
+    def written(df, name):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return kept(df, name)
+
+    monkeypatch.setattr(common, "written", written)
+    r = random.Random(4)
+    nodes = list(range(80))
+    r.shuffle(nodes)
+    edges = [*zip(nodes[:30], nodes[1:31]), *[(nodes[40], n) for n in nodes[41:60]], (nodes[61], nodes[60]), (nodes[60], nodes[61]), (nodes[5], nodes[5])]
+    got = {x["node"]: x["root"] for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    groups = [nodes[:31], nodes[40:60], nodes[60:62]]
+    assert got == {n: min(g) for g in groups for n in g}
+    assert len(exchanges) > 2 and max(exchanges[1:]) <= 3
