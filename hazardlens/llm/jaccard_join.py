@@ -1,8 +1,11 @@
 """N-gram Jaccard join: documents link when their sets of word shingles overlap enough; exact, without all pairs.
 
-Documents with equal sets are one row from the start. Of each set only a size-derived prefix, its rarest shingles by
+Documents with equal sets are one row from the start. Of each set only a size-derived prefix, its first shingles by
 one global order, can be the first thing that two linked sets share; prefixes that share a shingle and whose sizes
-allow a link join a cluster. Inside a cluster the document by n-gram incidence is multiplied with its transpose block
+allow a link join a cluster. In that order the shingles with the smallest hashes, twice as many as a prefix needs on average,
+come first, and among them those that the fewest sets have. Only these are counted: each set sends them, and the others too if
+they are fewer than its prefix, packed to groups by hash, and a group answers for those that it has from two sets or more. So what is
+dealt out grows with the documents and nothing is broadcast. Inside a cluster the document by n-gram incidence is multiplied with its transpose block
 by block: blocks hold a bounded number of shingles, in order of set size, and block pairs or rows outside the size
 bounds are passed over. A block pair returns link counts and a spanning forest of its links, never the pairs.
 """
@@ -16,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardlens.llm import kernel, sketch
+from hazardlens.llm import kernel, packed
 from hazardlens.llm.common import Members, components, has_bit, written
 
 BLOCK_SHINGLES = 1 << 20
 ROW_WEIGHT = 1 << 10  # so a block has at most 1,024 sets as well
+U = kernel.U
 
 
 def _sets(block: kernel.Block, width: int):
@@ -38,6 +42,28 @@ def _least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -((-num * n) // den)
 
 
+def _early(num: int, den: int) -> int:
+    """Shingles with smaller hashes come first in the order: twice as many as a prefix needs on average."""
+    return min((1 << 64) - 1, 2 * (den - num) * (1 << 64) // den)
+
+
+def _shared(texts: DataFrame, asked, starts: list[int], low: int) -> DataFrame:
+    """(s, h, late, c) for each hash h that ``asked`` gives for two sets s or more; c is their number."""
+    def answer(group: pa.Table) -> pa.Table:
+        h, s = packed.repeated(group, (np.uint64, np.int64))
+        order = np.lexsort((s, h))
+        h, s = h[order], s[order]
+        once = np.ones(len(h), bool)
+        once[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+        h, s = h[once], s[once]
+        _, of, times = np.unique(h, return_inverse=True, return_counts=True)
+        c = times[of]
+        more = c > 1
+        return pa.table({"s": s[more], "h": h[more].view(np.int64), "late": h[more] >= U(low), "c": c[more]})
+
+    return packed.deal(texts, asked, starts, 2).applyInArrow(answer, "s long, h long, late boolean, c long")
+
+
 def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, mark, class): one row for each row of ``docs``.
 
@@ -47,49 +73,51 @@ def link(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Data
     takes part and never becomes a component_id unless the component has no other. ``mark`` is xxhash64 of the text,
     ``class`` a number of the component that does not depend on ids (null without shingles). Only doc_id and text are read.
     """
+    low = _early(num, den)
+
+    def early(every: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        before = np.concatenate([[0], np.cumsum(every < U(low))])
+        return before[bounds[1:]] - before[bounds[:-1]]
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in kernel.blocks(batch.column(1)):
-                _, bounds, own = _sets(block, width)
+                every, bounds, own = _sets(block, width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, len(block)), pa.array(np.diff(bounds)), pa.array(own.view(np.int64)), batch.column(2).slice(block.first, len(block))],
-                    ["doc_id", "n", "s", "mark"],
+                    [batch.column(0).slice(block.first, len(block)), pa.array(np.diff(bounds)), pa.array(own.view(np.int64)), batch.column(2).slice(block.first, len(block)), pa.array(early(every, bounds))],
+                    ["doc_id", "n", "s", "mark", "early"],
                 )
 
-    rows = written(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(describe, "doc_id long, n long, s long, mark long"), "sets")
-    classes = rows.filter("n > 0").groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"))
+    rows = written(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(describe, "doc_id long, n long, s long, mark long, early long"), "sets")
+    classes = rows.filter("n > 0").groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("early").alias("early"))
 
-    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for block in kernel.blocks(batch.column(0)):
-            yield _sets(block, width)[0]
-
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    shared = docs.sparkSession.sparkContext.broadcast(sketch.build(docs.select("text"), hashes, sketch.bits_for(total, 27), thresholds=(2, 16)))
+    prefix = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
+    short = F.col("early") < prefix
+    total = rows.agg(F.sum("early").alias("early"), F.sum(F.when(short, F.col("n") - F.col("early"))).alias("late")).first()
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            for block in kernel.blocks(batch.column(0)):
-                every, bounds, own = _sets(block, width)
-                if not len(every):
-                    continue
-                sizes = np.diff(bounds)
-                text = np.repeat(np.arange(len(sizes)), sizes)
-                level = known.level(every)
-                order = np.lexsort((level, text))  # stable: equal levels stay in order of their hashes
-                rank = np.arange(len(every)) - bounds[:-1][text]
-                take = order[(rank < (sizes - _least_overlap(sizes, num, den) + 1)[text]) & (level[order] > 0)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(every[take].view(np.int64)), pa.array(own[text[take]].view(np.int64)), pa.array(sizes[text[take]])], ["h", "s", "n"]
-                )
+    def asked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for block in kernel.blocks(batch.column(0)):
+            every, bounds, own = _sets(block, width)
+            n = np.diff(bounds)
+            all_of = early(every, bounds) < n - _least_overlap(n, num, den) + 1
+            text = np.repeat(np.arange(len(n)), n)
+            some = np.flatnonzero((every < U(low)) | all_of[text])
+            yield every[some], own.view(np.int64)[text[some]]
+
+    shared = _shared(docs.select("text"), asked, packed.parts(total["early"] or 0, 0, low) + packed.parts(total["late"] or 0, low), low)
+    # a set's shingles that no other has come first, so of the shared ones only so many more are in its prefix; ties all are
+    own = Window.partitionBy("s")
+    place = F.rank().over(own.orderBy("late", "c", "h")) - 1
+    known = F.count("*").over(own)
+    within = shared.join(classes.select("s", "n", "early"), "s").withColumns({"p": prefix, "place": place, "k": known, "k0": F.count_if(~F.col("late")).over(own)})
+    within = within.filter(F.when(F.col("late"), F.expr("place < p - n + k")).otherwise(F.expr("place < p - early + k0")))
 
     order = Window.partitionBy("h").orderBy("n", "s")
     apart = F.coalesce(F.lag("n").over(order) * den < F.col("n") * num, F.lit(True))
     hub = F.last(F.when(F.col("apart"), F.col("s")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    meet = docs.select("text").mapInArrow(prefixes, "h long, s long, n long").distinct().withColumn("apart", apart)
+    meet = within.select("h", "s", "n").withColumn("apart", apart)
     edges = meet.withColumn("hub", hub).filter("hub != s").select(F.col("s").alias("a"), F.col("hub").alias("b"))
     clusters = components(edges)
-    shared.destroy()
 
     order = Window.partitionBy("root").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)
     placed = (F.sum(F.col("n") + ROW_WEIGHT).over(order) - 1) / F.lit(BLOCK_SHINGLES)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from hazardlens.llm import common, jaccard_join
+from hazardlens.llm import common, jaccard_join, packed, sketch
 from hazardlens.llm.queries import queries
 from tests.llm.helpers import ODD, docs_frame, lower, sample, words
 
@@ -106,3 +106,25 @@ def test_components_deal_edges_three_times_a_round(spark, monkeypatch):
     groups = [nodes[:31], nodes[40:60], nodes[60:62]]
     assert got == {n: min(g) for g in groups for n in g}
     assert len(exchanges) > 2 and max(exchanges[1:]) <= 3
+
+
+def test_chance_repeats_make_no_clusters_at_any_size(spark, monkeypatch):
+    """As in a corpus far larger than any table of counts that is broadcast: shingles shared by chance stay out of the prefixes."""
+    edges, own = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda e: edges.append(e.count()) or own(e))
+    monkeypatch.setattr(sketch, "bits_for", lambda *a: 6)
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choices([f"w{i}" for i in range(45)], k=60))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(10)]
+    got = sorted((tuple(x)[:4] for x in jaccard_join.link(docs_frame(spark, rows), 3, 90, 100).collect()), key=str)
+    assert got == brute(rows, 3, 90, 100) and sum(n for *_, n in got) >= 20
+    assert 10 <= edges[0] <= 150
+
+
+@pytest.mark.parametrize("width,num", [(3, 90), (2, 60)])
+def test_many_groups_and_runs(spark, monkeypatch, width, num):
+    monkeypatch.setattr(packed, "GROUP", 50)
+    monkeypatch.setattr(packed, "FLUSH", 300)
+    rows = edited(11) + [r[:2] for r in ODD]
+    got = sorted((tuple(x)[:4] for x in jaccard_join.link(docs_frame(spark, rows), width, num, 100).collect()), key=str)
+    assert got == brute(rows, width, num, 100)
