@@ -137,3 +137,25 @@ def test_query_keeps_clean_documents(spark, small):
     out = queries()["op4_quality_classifier"](spark, small).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").toPandas()
     assert out[out.quality == 1].accepted.mean() >= 0.97
     assert out[out.quality == 0].accepted.mean() <= 0.35
+
+
+@pytest.fixture
+def whole(monkeypatch):
+    """No table may be made coarser; small ranges and runs, as of a large corpus."""
+    monkeypatch.setattr(quality, "_coarser", None)
+    for name, n in (("RANGE_GRAMS", 400), ("RANGE_ROWS", 200), ("RUN", 300)):
+        monkeypatch.setattr(quality, name, n, raising=False)
+
+
+def test_perplexities_are_those_of_the_whole_model(spark, whole):
+    docs = [(i, t, "en") for i, t in enumerate(corpus(9, 300))] + [(900, "a %% B", "en"), (901, "", "en"), (902, None, "en"), (903, "a %% B", "en")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    frame = docs_frame(spark, docs)
+    teachers = {r["doc_id"] for r in frame.filter(quality._half(F.col("doc_id")) == 0).collect()} & set(range(300))
+    log_p = kneser_ney([t for d, t, _ in docs if d in teachers])
+    out = {r["doc_id"]: r for r in quality.classify(frame, labels).collect()}
+    for d, t, _ in docs[:300]:
+        n = len(words(t)) + 1
+        assert out[d]["n_tokens"] == n and out[d]["perplexity"] == pytest.approx(math.exp(-log_p(t) / n), rel=1e-4)
+    assert out[900]["perplexity"] == out[903]["perplexity"] is not None
+    assert out[901]["perplexity"] is None and out[902]["perplexity"] is None
