@@ -159,3 +159,15 @@ def test_perplexities_are_those_of_the_whole_model(spark, whole):
         assert out[d]["n_tokens"] == n and out[d]["perplexity"] == pytest.approx(math.exp(-log_p(t) / n), rel=1e-4)
     assert out[900]["perplexity"] == out[903]["perplexity"] is not None
     assert out[901]["perplexity"] is None and out[902]["perplexity"] is None
+
+
+def test_accepted_rows_are_those_of_the_whole_model(spark, whole):
+    docs = [(i, t, "en") for i, t in enumerate(corpus(10, 200))] + [(500 + i, " ".join(f"{w}%" for w in t.split()), None) for i, t in enumerate(corpus(11, 30))]
+    frame = docs_frame(spark, docs + docs[:3] + docs[-3:] + [(7, docs[-1][1], "en"), (None, docs[0][1], None), (600, None, "en")])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    plain = lambda rows: sorted(((r["doc_id"], r["lang"], r["text"]) for r in rows), key=str)
+    judged = quality.classify(frame.withColumn("doc_id", F.col("doc_id")), labels)
+    ok = {(r["doc_id"], r["lang"], r["n_tokens"], r["perplexity"]) for r in judged.filter("accepted").collect()}
+    kept = quality.accept(frame, labels)
+    assert kept.columns == frame.columns and 150 < len(ok)
+    assert plain(kept.collect()) == plain(r for r in frame.collect() if any(r["doc_id"] == d and r["lang"] == lang and len(words(r["text"])) + 1 == n for d, lang, n, _ in ok))
